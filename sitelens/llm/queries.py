@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.llm import op03_bpe
+from sitelens.llm.op07_html import extract_main_text
 from sitelens.llm.op08_simhash import simhash_groups
 from sitelens.llm.op09_warc import archive_round_trip
 
@@ -27,8 +28,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
 }
