@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.llm import op03_bpe
 from sitelens.llm.op01_vptree import nearest
+from sitelens.llm.op02_resampling import resample
 from sitelens.llm.op07_html import extract_main_text
 from sitelens.llm.op08_simhash import simhash_groups
 from sitelens.llm.op09_warc import archive_round_trip
@@ -38,8 +39,14 @@ def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sample_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
+    "op2_resampling": op2_resampling,
     "op3_bpe": op3_bpe,
     "op7_html": op7_html,
     "op8_simhash": op8_simhash,
