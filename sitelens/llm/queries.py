@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sitelens.llm import op03_bpe
 from sitelens.llm.op01_vptree import nearest
 from sitelens.llm.op02_resampling import resample
+from sitelens.llm.op06_templates import leaks
 from sitelens.llm.op07_html import extract_main_text
 from sitelens.llm.op08_simhash import simhash_groups
 from sitelens.llm.op09_warc import archive_round_trip
@@ -44,10 +45,15 @@ def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sample_key")
 
 
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
     "op2_resampling": op2_resampling,
     "op3_bpe": op3_bpe,
+    "op6_templates": op6_templates,
     "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
