@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelens.llm import op03_bpe
 from sitelens.llm.op01_vptree import nearest
 from sitelens.llm.op02_resampling import resample
+from sitelens.llm.op05_pii import pseudonymise
 from sitelens.llm.op06_templates import leaks
 from sitelens.llm.op07_html import extract_main_text
 from sitelens.llm.op08_simhash import simhash_groups
 from sitelens.llm.op09_warc import archive_round_trip
 
 
+#: For the query only; real runs bring a key of their own.
+PSEUDONYM_KEY = b"for the query only"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,10 +55,16 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
     "op2_resampling": op2_resampling,
     "op3_bpe": op3_bpe,
+    "op5_pii": op5_pii,
     "op6_templates": op6_templates,
     "op7_html": op7_html,
     "op8_simhash": op8_simhash,
