@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitelens.llm import op03_bpe
 from sitelens.llm.op01_vptree import nearest
 from sitelens.llm.op02_resampling import resample
+from sitelens.llm.op04_cdc import repeated_documents, repeated_spans
 from sitelens.llm.op05_pii import pseudonymise
 from sitelens.llm.op06_templates import leaks
 from sitelens.llm.op07_html import extract_main_text
@@ -60,10 +61,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"))
 
 
+def op4_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_documents(repeated_spans(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
     "op2_resampling": op2_resampling,
     "op3_bpe": op3_bpe,
+    "op4_cdc": op4_cdc,
     "op5_pii": op5_pii,
     "op6_templates": op6_templates,
     "op7_html": op7_html,
