@@ -16,6 +16,7 @@ from sitelens.llm.op06_templates import leaks
 from sitelens.llm.op07_html import extract_main_text
 from sitelens.llm.op08_simhash import simhash_groups
 from sitelens.llm.op09_warc import archive_round_trip
+from sitelens.llm.op10_lines import line_report
 
 
 #: For the query only; real runs bring a key of their own.
@@ -65,6 +66,10 @@ def op4_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_documents(repeated_spans(_table(spark, sf_dir, "documents")))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
     "op2_resampling": op2_resampling,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
+    "op10_lines": op10_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {}
