@@ -146,5 +146,5 @@ def offset(b: Box, dx: Column, dy: Column) -> Box:
 
 
 def yolo_line(class_id: Column, values: list[Column]) -> Column:
-    """``class cx cy w h`` with six digits after the point."""
-    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, *values)
+    """``class cx cy w h`` with six digits after the point; halves go to the even digit."""
+    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, *(F.bround(v, 6) for v in values))

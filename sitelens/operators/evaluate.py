@@ -24,7 +24,7 @@ def match_predictions(predictions: DataFrame, truth: DataFrame, threshold: float
     truths = F.coalesce("truths", F.expr("cast(array() as array<struct<det_ord:int,x1:double,y1:double,x2:double,y2:double>>)"))
 
     def step(acc: Column, x: Column) -> Column:
-        free = F.filter(F.col("truths"), lambda t: ~F.exists(acc, lambda m: m["truth_ord"] == t["det_ord"]))
+        free = F.filter(F.col("truths"), lambda t: ~F.exists(acc, lambda m: m["truth_ord"].eqNullSafe(t["det_ord"])))
         scored = F.transform(free, lambda t: F.struct(iou(box_of(x), box_of(t)).alias("v"), (-t["det_ord"]).alias("minus")))
         return F.concat(acc, let(F.array_max(scored), lambda b: F.array(F.struct(x["det_ord"].alias("det_ord"), x["confidence"].alias("confidence"), F.when(b["v"] >= threshold, -b["minus"]).alias("truth_ord")))))
 
