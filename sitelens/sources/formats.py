@@ -59,10 +59,22 @@ def read_yolo(spark: SparkSession, folder: str, recursive: bool = True) -> DataF
     return lines.select("stem", "line_ord", F.get(p, F.lit(0)).try_cast("int").alias("class_id"), *(F.get(p, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"))))
 
 
+def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """``path``, ``length`` of files by the file system's own listing: Spark's scans leave empty files out, and an empty label file is a picture without objects."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        if (path := f.getPath().toString()).endswith(suffix):
+            rows.append((path, f.getLen()))
+    return spark.createDataFrame(rows, "path string, length long")
+
+
 def find_label_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``stem``, ``label_path``: of label files with one stem the last by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder).select("path")
-    return files.groupBy(stem(F.col("path")).alias("stem")).agg(F.max("path").alias("label_path"))
+    """``stem``, ``label_path``, ``empty``: of label files with one stem the last by path."""
+    files = list_files(spark, folder, ".txt").groupBy(stem(F.col("path")).alias("stem")).agg(F.max(F.struct("path", "length")).alias("f"))
+    return files.select("stem", F.col("f.path").alias("label_path"), (F.col("f.length") == 0).alias("empty"))
 
 
 @dataclass
