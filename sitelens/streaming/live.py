@@ -22,9 +22,10 @@ def unique_images(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("captured_at", late).dropDuplicatesWithinWatermark(["path"])
 
 
-def hourly_counts(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """``hour``, ``setup``, ``n``, ``best``: images and best score of each hour and setup."""
-    return stream.withWatermark("captured_at", late).groupBy(F.window("captured_at", "1 hour"), "setup").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")).select(F.col("window.start").alias("hour"), "setup", "n", "best")
+def hourly_counts(stream: DataFrame, late: str | None = "1 hour") -> DataFrame:
+    """``hour``, ``setup``, ``n``, ``best``: images and best score of each hour and setup. ``late`` None: the stream has its watermark."""
+    timed = stream.withWatermark("captured_at", late) if late else stream
+    return timed.groupBy(F.window("captured_at", "1 hour"), "setup").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")).select(F.col("window.start").alias("hour"), "setup", "n", "best")
 
 
 def sessions(stream: DataFrame, gap: str = "3 minutes", late: str = "1 hour") -> DataFrame:

@@ -75,7 +75,7 @@ def test_stream_counts(spark, tmp_path):
     rows = [(i, f"Kamera1_00_202401020{h}{m:02d}00.jpg", float(m)) for i, (h, m) in enumerate((h, m) for h in (3, 4) for m in (0, 1, 30))]
     spark.createDataFrame([*rows, rows[0]], schema).write.parquet(str(tmp_path / "in"))
     stream = live.stream_index(spark, str(tmp_path / "in"), schema)
-    q = live.hourly_counts(live.unique_images(stream)).writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = live.hourly_counts(stream).writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("hours").count() in (0, 1)
     batch = spark.read.parquet(str(tmp_path / "in"))
