@@ -682,3 +682,61 @@ def annotation_pipeline(spark: SparkSession, d: str) -> DataFrame:
 def inference_pipeline(spark: SparkSession, d: str) -> DataFrame:
     weights = F.when(F.col("class_name") == "face", "weights/face_only.pt").when(F.col("part") % 3 == 0, "weights/v11_person_supplement.pt").otherwise("weights/v12_general.pt")
     return boxes(stages.infer(detections(spark, d).withColumn("model", weights)), "model")
+
+
+# --- enrichment and pixels ------------------------------------------------------------------------------------------------
+
+_GEAR = ["hard hat", "Safety Vest", "white helmet", "gloves", "reflective jacket", "boots", "high visibility helmet"]
+_GEAR_SQL = f"g AS (SELECT l_orderkey, lower(({_GEAR})[l_partkey % {len(_GEAR)} + 1]) AS name FROM lineitem), h AS (SELECT l_orderkey, contains(name, 'helmet') OR contains(name, 'hard hat') AS helmet, name FROM g)"
+
+
+@query(f"WITH {_GEAR_SQL} SELECT l_orderkey, CASE WHEN bool_or(helmet) THEN 'yes' ELSE 'no' END AS helmet, CASE WHEN bool_or(NOT helmet AND (contains(name, 'vest') OR contains(name, 'visibility') OR contains(name, 'reflective') OR contains(name, 'safety jacket'))) THEN 'yes' ELSE 'no' END AS vest FROM h GROUP BY l_orderkey")
+def ppe_flags(spark: SparkSession, d: str) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, _GEAR)), (F.col("l_partkey") % len(_GEAR)).cast("int"))
+    return classify.ppe_flags(table(spark, d, "lineitem").select("l_orderkey", name.alias("name")), ["l_orderkey"])
+
+
+@query("SELECT l_orderkey, CASE WHEN bool_or(l_partkey % 50 = 0) THEN NULL ELSE bool_or((l_suppkey % 10)::DOUBLE / 20 > 0.3) END AS is_text FROM lineitem GROUP BY l_orderkey")
+def ocr_verdict(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "lineitem").select("l_orderkey", ((F.col("l_suppkey") % 10).cast("double") / 20).alias("score"), F.when(F.col("l_partkey") % 50 == 0, "failed").alias("error"))
+    return classify.ocr_verdict(texts, ["l_orderkey"])
+
+
+@query(f"WITH {DET_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, det_ord) AS n FROM det WHERE class_name = 'face') SELECT image_id, det_ord, CASE WHEN confidence >= 0.15 THEN 'clear' WHEN confidence >= 0.08 THEN 'partial' ELSE 'occluded' END AS visibility FROM f WHERE n = 1")
+def best_rescue_face(spark: SparkSession, d: str) -> DataFrame:
+    best = classify.best_face(spatial.of_class(detections(spark, d), "face"), ["image_id"])
+    return best.select("image_id", "det_ord", names.visibility(F.col("confidence")).alias("visibility"))
+
+
+@query(f"WITH {DET_SQL}, t AS (SELECT image_id, det_ord, (['company_name','license_plate','other'])[part % 3 + 1] AS ct, (['yes','no','unspecified'])[supp % 3 + 1] AS it, (['unspecified','yes'])[supp % 2 + 1] AS il FROM det WHERE class_name = 'text_or_logo') SELECT image_id, det_ord, CASE WHEN ct = 'company_name' THEN 'yes' WHEN it = 'yes' AND il = 'unspecified' THEN 'no' ELSE il END AS is_logo FROM t")
+def text_attributes(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda c, values: F.get(F.array(*map(F.lit, values)), (F.col(c) % len(values)).cast("int"))
+    texts = spatial.of_class(detections(spark, d), "text_or_logo").select("image_id", "det_ord", pick("part", ["company_name", "license_plate", "other"]).alias("content_type"), pick("supp", ["yes", "no", "unspecified"]).alias("is_text"), pick("supp", ["unspecified", "yes"]).alias("is_logo"))
+    return classify.text_attributes(texts).select("image_id", "det_ord", "is_logo")
+
+
+@query(f"""WITH {DET_SQL}, b AS (SELECT v.image_id, v.det_ord AS vehicle_ord, v.x1, v.y1 + (v.y2 - v.y1) * 0.5::DOUBLE AS y1, v.x2, v.y2, v.part FROM det v WHERE class_name = 'vehicle' AND NOT EXISTS (SELECT 1 FROM det t WHERE t.image_id = v.image_id AND t.class_name = 'text_or_logo' AND t.part % 2 = 0 AND {containment_sql('v', 't')} >= 0.3))
+SELECT image_id, vehicle_ord, {BOX_SQL} FROM b WHERE part % 3 = 1 AND least(1280, trunc(x2)) - greatest(0, trunc(x1)) >= 20 AND least(720, trunc(y2)) - greatest(0, trunc(y1)) >= 10""")
+def plate_rescue(spark: SparkSession, d: str) -> DataFrame:
+    det = detections(spark, d)
+    plates = spatial.of_class(det, "text_or_logo").where("part % 2 = 0")
+    found = det.where("part % 3 = 1").select("image_id", "det_ord")
+    return rounded(stages.rescue_plates(det, plates, found, WIDTH, HEIGHT).select("image_id", "vehicle_ord", *BOX), *BOX)
+
+
+@query("WITH p AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(floor((x + 1) * 100) AS INTEGER) % 256 AS DOUBLE)) AS v FROM embeddings) SELECT 'img_' || vec_id AS path, round(list_avg(v), 6) AS brightness, round(list_stddev_pop(v), 6) AS contrast FROM p")
+def pixel_metrics(spark: SparkSession, d: str) -> DataFrame:
+    from sitelens.functions import kernels
+
+    gray = F.expr("unhex(array_join(transform(embedding, x -> lpad(hex(cast(floor((cast(x as double) + 1) * 100) as int) % 256), 2, '0')), ''))")
+    ims = table(spark, d, "embeddings").select(F.concat(F.lit("img_"), "vec_id").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), gray.alias("data"))
+    return rounded(kernels.measure(ims), "brightness", "contrast").select("path", "brightness", "contrast")
+
+
+@query()
+def enrichment(spark: SparkSession, d: str) -> DataFrame:
+    det = detections(spark, d)
+    phrase = F.when(F.col("class_name") == "text_or_logo", F.get(F.array(*map(F.lit, PHRASE_WORDS)), (F.col("part") % len(PHRASE_WORDS)).cast("int"))).otherwise("")
+    helmet = F.when(F.col("class_name") == "person", F.create_map(F.lit("helmet"), F.when(F.col("part") % 3 == 0, "yes").otherwise("no"))).otherwise(F.create_map().cast("map<string,string>"))
+    out = stages.enrich(det.withColumn("phrase", phrase).withColumn("attributes", helmet))
+    return out.select("image_id", "det_ord", "class_name", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes")))).alias("attributes"))
