@@ -43,8 +43,3 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
-
-
-def columns(df: DataFrame, *wanted: str) -> DataFrame:
-    """The columns named, whatever else the table holds."""
-    return df.select(*wanted)
