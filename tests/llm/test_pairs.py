@@ -183,6 +183,22 @@ def test_lines_against_brute_force(spark, docs):
     assert len(got - want) == 0 and len(want - got) <= 0.01 * len(want)
 
 
+def test_lines_of_families_on_one_template(spark):
+    """Families that differ in a slot of one long template: every band is crowded, and few lines resemble its commonest one."""
+    word = lambda k: "".join(chr(97 + k * 7919 // 26**i % 26) for i in range(5))
+    template, rows = [word(k) for k in range(40)], []
+    for f in range(80):
+        for v in range(3):  # eight words of the family's own, in which its variants differ by one
+            own = [word(1000 + 10 * f + k) for k in range(8)]
+            own[v] = word(5000 + 3 * f + v)
+            rows.append((len(rows), " ".join(template[: f % 40] + own + template[f % 40 :])))
+    sets = [line_sets(x) for _, x in rows]
+    root = clusters(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]).tolist()
+    assert len(set(root)) == 80
+    got = {r.doc_id for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed}
+    assert got == {i for i, r in enumerate(root) if i != r}
+
+
 def test_lines_edges(spark):
     odd = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "x\ny", 3), (3, "a b c\n\na b c\nq", 4), (3, "a b c\n\na b c\nq", 4), (4, "q", 5), (5, "x" * 60_000, 6)], "doc_id long, text string, h1 int")
     rows = {(r.doc_id, r.n_lines, r.n_removed, r.removed) for r in line_report(odd).collect()}
