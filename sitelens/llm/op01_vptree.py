@@ -4,7 +4,9 @@ Equal vectors are one node with their smallest ids. In each shard a further coor
 largest norm; a query has zero there, so that squared distance = norm² + |q|² − 2 q·x and the nearest vector is that of
 largest inner product, under a metric. A tree's node holds a vantage point, the median distance to it and the range of
 distances on either side; a side is passed over if ``factor`` × its triangle-inequality bound reaches the distance of the
-worst neighbour held. Factor one is exact search; larger factors prune more.
+worst neighbour held. Factor one is exact search; larger factors prune more. Where norms differ, all distances to a query are
+about the largest norm, and a factor that suits equal norms passes over almost everything; so in each shard some queries are
+compared with all vectors, and the factor falls towards one until these find ``RECALL`` of their neighbours.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import stored
 
 LEAF = 128
+#: So many queries of a block measure the recall in a shard, and this is what their mean must reach.
+PROBES, RECALL = 64, 0.98
 
 
 class Tree:
@@ -115,6 +119,21 @@ class Tree:
         visit(0, np.arange(n))
         return place, best
 
+    def fitting(self, queries: np.ndarray, k: int, held: int, factor: float) -> float:
+        """The first of some factors from ``factor`` down to one by which probed queries, holding ``held``, find ``RECALL`` of their ``k`` nearest."""
+        wide = min(k, len(self.x))
+        if factor <= 1 or not wide or not len(queries):
+            return factor
+        some = queries[np.unique(np.linspace(0, len(queries) - 1, PROBES).astype(int))]
+        least = np.partition(some @ self.x.T, -wide, axis=1)[:, -wide, None]
+        hair = 1e-12 * np.sqrt(self.norm * np.einsum("ij,ij->i", some, some))[:, None]
+        for share in (1.0, 0.5, 0.25):
+            now = 1 + (factor - 1) * share
+            _, best = self.search(some, held, now)
+            if np.minimum((best >= least - hair).sum(1), wide).mean() >= RECALL * wide:
+                return now
+        return 1.0
+
 
 def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
@@ -150,7 +169,7 @@ def _search(k: int, factor: float, slack: int):
                 tree, ids, ends = _load(data.as_py())
                 names = np.array(names.as_py(), np.int64)
                 queries = np.array(vectors.as_py(), np.float64).reshape(len(names), -1)
-                found, _ = tree.search(queries, k + slack, factor)
+                found, _ = tree.search(queries, k + slack, tree.fitting(queries, k, k + slack, factor))
                 out: list[tuple] = []
                 for name, q, at in zip(names.tolist(), queries, found, strict=True):
                     at = at[at >= 0]
@@ -177,7 +196,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     neighbour of it. Vectors that are null, empty or zero or hold null or non-finite components take no part, nor do rows
     without an id; vectors of other lengths than the query's are no candidates; rows that repeat an id and vector count
     once. Fewer candidates than ``k`` are all returned; empty tables give an empty result; other columns are ignored.
-    ``slack``: as many more than k are held on the way, for scores that rounding made equal.
+    ``slack``: as many more than k are held on the way, for scores that rounding made equal. ``factor`` is the most that a
+    shard prunes by; it takes less where probed queries don't reach ``RECALL``.
     """
     own = _valid(vectors).groupBy("vec_id", "embedding").agg(F.lit(1)).select("vec_id", "embedding")
     # of equal vectors the k+1 smallest ids suffice: one may be the query's own

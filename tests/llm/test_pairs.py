@@ -73,6 +73,27 @@ def test_recall_with_pruning():
         assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(want.tolist(), found.tolist(), strict=True)]) >= least
 
 
+@pytest.mark.parametrize("norms", ["one outlier", "lognormal"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32)) + 2 * rng.normal(size=(20, 32))[rng.integers(0, 20, 3000)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "lognormal":
+        x *= rng.lognormal(0, 0.8, 3000)[:, None]
+    else:
+        x[1] *= 3
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(v, v.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(0, 3000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(got.get(q, set()) & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 # --- fingerprints
 
 
