@@ -220,6 +220,21 @@ def test_lines_of_families_on_one_template(spark):
     assert got == {i for i, r in enumerate(root) if i != r}
 
 
+def test_lines_without_spaces(spark):
+    """Lines of one run, one character put in or taken out, against Jaccard of windows at every character."""
+    rng = np.random.default_rng(11)
+    run = lambda n, low, high: "".join(map(chr, rng.integers(low, high, n)))
+    url = "http://site.example/" + run(150, 97, 123)
+    latin, chinese, thai, brief = run(120, 97, 123), run(60, 0x4E00, 0x9FA5), run(80, 0x0E01, 0x0E2F), run(20, 0x4E00, 0x9FA5)
+    pairs = [(latin, "x" + latin), (latin[:60] + "y" + latin[60:], latin), (url, url.replace("http", "https")), (chinese, "\u4e00" + chinese), (thai[:40] + thai[41:], thai), (brief, "\u4e00" + brief), (latin, run(60, 97, 123) + latin[60:]), (url, "http://site.example/" + run(150, 97, 123))]
+    every = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    for at, (a, b) in enumerate(pairs):
+        similar = len(every(a) & every(b)) >= 0.8 * len(every(a) | every(b))
+        assert similar == (at < 6)
+        docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+        assert sum(r.n_removed for r in line_report(docs).collect()) == similar
+
+
 def test_lines_edges(spark):
     odd = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "x\ny", 3), (3, "a b c\n\na b c\nq", 4), (3, "a b c\n\na b c\nq", 4), (4, "q", 5), (5, "x" * 60_000, 6)], "doc_id long, text string, h1 int")
     rows = {(r.doc_id, r.n_lines, r.n_removed, r.removed) for r in line_report(odd).collect()}
