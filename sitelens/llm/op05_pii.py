@@ -103,8 +103,15 @@ def phone(text: str, net: Feistel, back: bool = False) -> str | None:
         head, d = d[:1], d[1:]
     elif len(d) == 11 and d[0] == 1:
         head, d = d[:1], d[1:]
-    if len(d) != 10 or d[0] < 2 or d[3] < 2:
+    if len(d) != 10:
         return None
+    if d[0] < 2 or d[3] < 2:  # no such area or exchange: a number all the same where +1 or parentheses mark it, in a class of its own
+        if not head and "(" not in text:
+            return None
+        while True:
+            d = net.mixed(d, [10] * 10, "phone1 odd", back)
+            if d[0] < 2 or d[3] < 2:
+                return _put(text, [*head, *d])
     sizes = [8, 10, 10, 8, *[10] * 6]
     out = net.mixed([d[0] - 2, *d[1:3], d[3] - 2, *d[4:]], sizes, "phone1", back)
     return _put(text, [*head, out[0] + 2, *out[1:3], out[3] + 2, *out[4:]])
@@ -204,7 +211,7 @@ KINDS: dict[str, tuple[str, Callable[..., str | None]]] = {
     "date": (r"(?<![\w/.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)", date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "ipv4": (r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", ipv4),
-    "phone": (r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w])", phone),
+    "phone": (r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])|(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])|(?:1[ .-]?)?\(\d{3}\)[ .-]?)\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w])", phone),
     "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)", card),
 }
 ANY = re.compile("|".join(f"(?P<{name}>{re.sub(r'(?<![?(])\\([12])', r'\\\1', pattern)})" for name, (pattern, _) in KINDS.items()).replace(r"([-/.])\d{1,2}\1", r"(?P<sep1>[-/.])\d{1,2}(?P=sep1)").replace(r"([-/.])\d{1,2}\2", r"(?P<sep2>[-/.])\d{1,2}(?P=sep2)"))
@@ -251,7 +258,7 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
 
     Cards (with a right check digit), phone numbers, social security numbers, IPv4 addresses, account numbers (IBAN with
     right check digits), calendar dates from 1900 to 2099, e-mail names and labelled secrets. Numbers that don't validate
-    stay. ``back`` undoes it with the same key. Null and empty texts, and texts without such a value, give no row;
+    stay, among them ten digits whose area code or exchange begins with 0 or 1, unless +1 or parentheses mark a telephone number. ``back`` undoes it with the same key. Null and empty texts, and texts without such a value, give no row;
     repeated rows give repeated rows; other columns are ignored; an empty table gives an empty one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -108,6 +108,16 @@ def test_pseudonyms_stay_valid_and_linked(spark):
     assert pii.pseudonymise(df.limit(0), b"k").count() == 0
 
 
+def test_marked_numbers_of_no_area():
+    net, numbers = pii.Feistel(b"k"), ["+1 (017) 555-7713", "(212) 155-7713", "+1-117-055-0001", "1 (017) 555-7713"]
+    new = [pii.replace(x, net)[0] for x in numbers]
+    for x, y in zip(numbers, new, strict=True):
+        assert x != y and re.sub(r"\d", "0", x) == re.sub(r"\d", "0", y) and pii.replace(y, net, True)[0] == x
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(new[0]) == digits(new[3])  # linked, however it is written
+    assert pii.replace("part 017-555-7713", net)[0] == "part 017-555-7713"
+
+
 # --- decontamination
 
 
