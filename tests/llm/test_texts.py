@@ -108,6 +108,17 @@ def test_pseudonyms_stay_valid_and_linked(spark):
     assert pii.pseudonymise(df.limit(0), b"k").count() == 0
 
 
+def test_pairs_of_words_tell_their_order(spark):
+    rng = np.random.default_rng(2)
+    docs = []
+    for d in range(600):
+        words = [w for k in rng.integers(0, 40, 40) for w in (f"left{k}", f"right{k}")]
+        docs.append((d, " ".join(words if d % 2 else rng.permutation(words).tolist())))
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in resampling.resample(spark.createDataFrame(docs, "doc_id long, text string"), labels, order=2).collect()}
+    assert len([d for d in kept if d % 2]) >= 285 and len([d for d in kept if not d % 2]) <= 15
+
+
 def test_marked_numbers_of_no_area():
     net, numbers = pii.Feistel(b"k"), ["+1 (017) 555-7713", "(212) 155-7713", "+1-117-055-0001", "1 (017) 555-7713"]
     new = [pii.replace(x, net)[0] for x in numbers]
