@@ -15,7 +15,7 @@ from sitelens.llm import op05_pii as pii
 from sitelens.llm.common import new_path
 from sitelens.llm.op03_bpe import codec, decode, default_path, default_pattern, digests, encode, encode_words, round_trip
 from sitelens.llm.op06_templates import decontaminate, leaks
-from sitelens.llm.op07_html import common_lines, extract_main_text, main_lines, page_lines
+from sitelens.llm.op07_html import ARTICLE, FRAME, WEAK, common_lines, extract_main_text, page_lines
 from sitelens.llm.op09_warc import archive_round_trip, read_warc, write_warc
 
 SF = "/root/testdata/sf0.001"
@@ -167,13 +167,61 @@ def test_lcs_brute_force():
 
 
 def test_blocks():
-    assert page_lines('<div class=x>A<p>b &lt; c<span>d</span>e<br>f<ul><li>one<li>two</ul><div id="sidebar-left">no</div>tail<p') == [(1, "A"), (1, "b < cde f"), (1, "one"), (1, "two"), (0, "no"), (1, "tail")]
+    assert page_lines('<div class=x>A<p>b &lt; c<span>d</span>e<br>f<ul><li>one<li>two</ul><div id="sidebar-left">no</div>tail<p') == [(1, "A"), (1, "b < cde f"), (1, "one"), (1, "two"), (WEAK, "no"), (1, "tail")]
     lines = page_lines("<title>t</title><body><header>H</header><main><header>keep</header><p>x 1<5 &amp;lt; y<script>p('</p>')</script><section class='comments'><p>c</section></main><footer>f")
-    assert main_lines(lines, set()) == ["keep", "x 1<5 &lt; y"]
+    assert [x for r, x in lines if r % FRAME == ARTICLE] == ["keep", "x 1<5 &lt; y"]
     for bad in ('<a href="' + "x" * 100_000, "<div " + "a='b" * 20_000, "<" * 50_000, "&am", "<!-- open"):
         page_lines(bad)
 
 
+ONE = [
+    ('<div class="content no-sidebar"><article><p>kept</p></article></div>', "kept"),
+    ('<div class="post-with-comments"><p>kept</p></div>', "kept"),
+    ('<div class="sidebar-layout widget"><article><p>kept</p></article><p>out</p></div>', "kept"),
+    ('<div id="page-header">top</div><article><div class="entry-header"><h1>head</h1></div><p>kept</p></article>', "head\nkept"),
+    ('<div id="page-header">top</div><p>kept</p>', "kept"),
+    ('<article><p>so <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> it<script>x</script> is</p></article>', "so a+b it is"),
+    ('<article><p>kept</p></article><div class="comments"><article class="comment"><p>no</p></article><article><p>no</p></article></div>', "kept"),
+    ('<div class="related-story"><p>kept where nothing else is</p></div><div class="ad">no</div>', "kept where nothing else is"),
+    ('<div class="ad">no</div><nav>no</nav>', ""),
+    ("<p>" + "a&amp;b " * 200_000, ("a&b " * 200_000).strip()),
+    ("", ""),
+]
+
+
+def test_markup_of_single_pages(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/a", html) for i, (html, _) in enumerate(ONE)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_main_text(pages).collect()} == {i: text for i, (_, text) in enumerate(ONE)}
+
+
+def test_frames_inside_of_articles(spark):
+    """Lines that three pages of a host share go, those that two share stay, also on copies of a page."""
+    rows, want = [], {}
+    for i in range(40):
+        own = [f"page {i} tells of {i * 7919 % 1009}", f"and then of {i * 104729 % 997}"] + (["quoted by two"] if i in (10, 11) else []) + ["A passage that every article of the host repeats stays."]
+        rows.append((i, f"http://h.com/news/{i:03d}", f"<article><div>Share this story</div>{''.join(f'<p>{x}</p>' for x in own)}<p>Read our terms</p></article>"))
+        want[i] = "\n".join(own)
+    rows += [(100 + i, f"http://h.com/news/{i:03d}/print", rows[i][2]) for i in (3, 20)]
+    want |= {100 + i: want[i] for i in (3, 20)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_main_text(pages).collect()} == want
+    plain = {r.page_id: r.text for r in extract_main_text(pages, difference=False).collect()}
+    assert all(plain[i] == f"Share this story\n{want[i]}\nRead our terms" for i in want)
+
+
+def test_memory_of_long_alignments():
+    import tracemalloc
+
+    rng = random.Random(4)
+    a = list(range(20_000))
+    b = a.copy()
+    rng.shuffle(b)
+    tracemalloc.start()
+    assert len(common_lines(a, b)) > 100
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+
+
 def test_pages_without_an_article(spark):
     rows = [(i, f"http://h.com/a/{i:04d}", f"<body><div>Welcome to site</div><p>unique text {i}</p><p>second {i * 7}</p><div>bye</div>") for i in range(1200)]
     rows += [(None, None, None), (5000, "x", ""), (5001, "http://solo.com/", "<div>Welcome to site</div><p>a</p>"), rows[0], rows[1]]
