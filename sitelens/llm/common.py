@@ -43,3 +43,14 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after them as far as ``df`` has columns of these names."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out

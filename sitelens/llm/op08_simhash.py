@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import stored
+from sitelens.llm.common import stored, unused
 from sitelens.llm.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -66,12 +66,15 @@ def fingerprint(data: bytes, width: int = 3, block: int = 1 << 16) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, keys: int = 1):
+    """``doc_id``, ``text`` and, with two ``keys``, ``k`` come in; the keys and ``fp`` go out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column("text").cast(pa.large_binary())
             prints = np.fromiter((fingerprint(x.as_buffer().to_pybytes(), width) if x.is_valid else 0 for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            names = ["doc_id", "k"][:keys]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(prints.view(np.int64))], [*names, "fp"])
 
     return run
 
@@ -199,12 +202,27 @@ def _grouped(prints: DataFrame) -> DataFrame:
     return prints.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id; rows without a doc_id stay."""
-    groups = _grouped(stored(fingerprints(docs, width), "simhash")[0]).where("doc_id is not null")
-    groups, _ = stored(groups.select("doc_id", F.col("doc_id") == F.col("component_id")).toDF("doc_id", "first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first")).where("n > 1 or not first"), "simhash-drop")
-    out = docs.join(groups.where("not first").select("doc_id"), "doc_id", "left_anti")
-    again = groups.where("first").select("doc_id")
-    if not again.isEmpty():  # ids that come more than once: one row stays
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One document of each near-duplicate group, the first by (doc_id, hash of its text); rows without a doc_id stay.
+
+    A document is an id with a text: rows that repeat both are one, of which one row stays; rows that repeat an id with
+    another text are other documents. ``width``: words a shingle. Fingerprints of at most three differing bits are of texts
+    that share nearly all of their shingles; see the README for what is found by similarity. Null and empty texts are one
+    group; other columns pass through; an empty table gives an empty one.
+    """
+    k = F.xxhash64(F.col("text").cast("string"))
+    prints = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), k.alias("k"))
+    prints, _ = stored(prints.mapInArrow(_fingerprints(width, 2), "doc_id long, k long, fp long"), "simhash")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "k")).alias("least"))
+    roots, _ = stored(connected_components(fingerprint_links(prints)), "roots")
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    doc, key = unused(docs, "_doc", "_key")
+    kept, _ = stored(first.select(F.col("first.doc_id").alias(doc), F.col("first.k").alias(key)), "simhash-kept")
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (k == F.col(key))
+    out = docs.join(kept, same, "left_semi")
+    # of rows that repeat an id and a text one stays: such documents are few, and only they are sorted out
+    again, _ = stored(prints.groupBy(F.col("doc_id").alias(doc), F.col("k").alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "simhash-again")
+    if not again.isEmpty():
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").withColumn(key, k).dropDuplicates(["doc_id", key]).drop(key))
+    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
