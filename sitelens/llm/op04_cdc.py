@@ -2,8 +2,9 @@
 
 A gear hash over the last 32 bytes cuts texts where its high bits are zero, between a least and a greatest size, so that
 cuts follow the content: after an insertion the cuts fall in step again. Chunks are counted by 128-bit digest; of a
-digest's occurrences the first by (doc_id, start) is kept. A passage is a run of adjacent chunks that occur elsewhere too;
-it counts from ``least_bytes`` on.
+digest's occurrences the first by (doc_id, hash of the text, start) is kept. A passage is a run of adjacent chunks that occur
+elsewhere too; it counts from ``least_bytes`` on. A document is an id with a text: rows that repeat both are one document, rows
+that repeat an id with another text are others (``k``, a hash of the text, tells them apart).
 """
 
 from __future__ import annotations
@@ -61,8 +62,9 @@ def _chunks(plan: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ks = batch.column(2).to_numpy(zero_copy_only=False)
             for first, data, bounds in text_parts(batch.column(1)):
-                doc, start, length, high, low = [], [], [], [], []
+                doc, key, start, length, high, low = [], [], [], [], [], []
                 whole = data.tobytes()
                 for i, (b, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     at = 0
@@ -73,39 +75,47 @@ def _chunks(plan: tuple[int, int, int]):
                         high.append((d >> 64) - (1 << 63))
                         low.append((d & (1 << 64) - 1) - (1 << 63))
                         at = end
-                    doc += [ids[first + i]] * (len(start) - len(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "start", "length", "high", "low"])
+                    new = len(start) - len(doc)
+                    doc += [ids[first + i]] * new
+                    key += [ks[first + i]] * new
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "k", "start", "length", "high", "low"])
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k"))
+
+
 def chunks(docs: DataFrame, plan: tuple[int, int, int] = PLAN) -> DataFrame:
-    """``doc_id``, ``start`` and ``length`` in bytes, ``high`` and ``low`` halves of the digest, of each chunk."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_chunks(plan), "doc_id long, start int, length int, high long, low long")
+    """``doc_id``, ``k``, ``start`` and ``length`` in bytes, ``high`` and ``low`` halves of the digest, of each chunk."""
+    return _keyed(docs).mapInArrow(_chunks(plan), "doc_id long, k long, start int, length int, high long, low long")
 
 
 def repeated_spans(docs: DataFrame, least_bytes: int = 80, plan: tuple[int, int, int] = PLAN) -> DataFrame:
     """Passages of ``docs`` that occur elsewhere too.
 
-    One row for each part of a passage: ``doc_id``, ``run`` (the passage), ``start``, ``length`` (bytes of the UTF-8 text),
-    ``again`` (its first occurrence is elsewhere, so that it can go). Repeats within one document count. Rows that repeat an id are one document's texts; null ids
-    and null or empty texts give nothing; other columns are ignored; an empty table gives an empty result.
+    One row for each part of a passage: ``doc_id``, ``k``, ``run`` (the passage), ``start``, ``length`` (bytes of the UTF-8
+    text), ``again`` (its first occurrence is elsewhere, so that it can go). Repeats within one document count. Rows that
+    repeat an id and a text repeat nothing; null ids and null or empty texts give nothing; other columns are ignored; an
+    empty table gives an empty result.
     """
     own, _ = stored(chunks(docs, plan), "chunks")
-    at = F.struct("doc_id", "start")
-    # first a sum in each task, so that a chunk that most documents hold is a row a task
-    often = own.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
-    hits = own.join(often, ["high", "low"]).select("doc_id", "start", "length", (at != F.col("first")).alias("again"))
-    hits = hits.repartition("doc_id").dropDuplicates(["doc_id", "start"])
+    at = F.struct("doc_id", "k", "start")
+    # first a sum in each task, so that a chunk that most documents hold is a row a task; written, so that the join's
+    # sides are dealt out for it alone and a hot chunk's rows can be split
+    often, _ = stored(own.groupBy("high", "low").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").drop("last"), "chunks-often")
+    hits = own.join(often, ["high", "low"]).select("doc_id", "k", "start", "length", (at != F.col("first")).alias("again"))
+    hits = stored(hits, "chunk-hits")[0].repartition("doc_id", "k").dropDuplicates(["doc_id", "k", "start"])
     end = F.col("start") + F.col("length")
-    by_place = Window.partitionBy("doc_id").orderBy("start")
+    by_place = Window.partitionBy("doc_id", "k").orderBy("start")
     opens = F.when(F.col("start") > F.lag(end).over(by_place), 1).otherwise(0)
     turns = F.when(F.col("again") != F.lag("again").over(by_place), 1).otherwise(opens)
     runs = hits.withColumns({"opens": opens, "turns": turns}).withColumns({"run": F.sum("opens").over(by_place), "part": F.sum("turns").over(by_place)})
-    parts = runs.groupBy("doc_id", "run", "part").agg(F.min("start").alias("start"), F.sum("length").cast("int").alias("length"), F.first("again").alias("again"))
-    whole = F.sum("length").over(Window.partitionBy("doc_id", "run"))
-    return parts.withColumn("passage_bytes", whole).where(F.col("passage_bytes") >= least_bytes).select("doc_id", "run", "start", "length", "again")
+    parts = runs.groupBy("doc_id", "k", "run", "part").agg(F.min("start").alias("start"), F.sum("length").cast("int").alias("length"), F.first("again").alias("again"))
+    whole = F.sum("length").over(Window.partitionBy("doc_id", "k", "run"))
+    return parts.withColumn("passage_bytes", whole).where(F.col("passage_bytes") >= least_bytes).select("doc_id", "k", "run", "start", "length", "again")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +133,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` of the documents of ``spans`` without what occurred before."""
-    gone = spans.where("again").groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("gone"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(gone, "doc_id").mapInArrow(_cut, "doc_id long, text string")
+    gone = spans.where("again").groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "length")).alias("gone"))
+    return _keyed(docs).join(gone, ["doc_id", "k"]).select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, text string")
 
 
 def repeated_documents(spans: DataFrame) -> DataFrame:
     """One row for each document with repeated passages: their number, bytes, bytes to remove, and the parts as start:length, ``-`` before what goes."""
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "length", "again"))), lambda x: F.concat(F.when(x["again"], F.lit("-")).otherwise(F.lit("")), x["start"].cast("string"), F.lit(":"), x["length"].cast("string"))), " ")
-    return spans.groupBy("doc_id").agg(F.count_distinct("run").alias("n_passages"), F.sum("length").alias("repeated_bytes"), F.sum(F.when(F.col("again"), F.col("length")).otherwise(0)).alias("removed_bytes"), said.alias("spans"))
+    found = spans.groupBy("doc_id", "k").agg(F.count_distinct("run").alias("n_passages"), F.sum("length").alias("repeated_bytes"), F.sum(F.when(F.col("again"), F.col("length")).otherwise(0)).alias("removed_bytes"), said.alias("spans"))
+    return found.drop("k")
