@@ -4,9 +4,11 @@ Equal vectors are one node with their smallest ids. In each shard a further coor
 largest norm; a query has zero there, so that squared distance = norm² + |q|² − 2 q·x and the nearest vector is that of
 largest inner product, under a metric. A tree's node holds a vantage point, the median distance to it and the range of
 distances on either side; a side is passed over if ``factor`` × its triangle-inequality bound reaches the distance of the
-worst neighbour held. Factor one is exact search; larger factors prune more. Where norms differ, all distances to a query are
-about the largest norm, and a factor that suits equal norms passes over almost everything; so in each shard some queries are
-compared with all vectors, and the factor falls towards one until these find ``RECALL`` of their neighbours.
+worst neighbour held. Factor one is exact search; larger factors prune more. How much a factor passes over differs with the
+vectors and their norms; so in each cell of queries and shard some queries are compared with all vectors, and the factor
+falls from the largest of ``LADDER`` towards one until these find ``RECALL`` of their neighbours.
+
+Every query meets every shard in a cell, a group of queries beside one tree; cells are dealt out over as many tasks.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import stored
 
 LEAF = 128
-#: So many queries of a block measure the recall in a shard, and this is what their mean must reach.
-PROBES, RECALL = 64, 0.98
+#: So many queries of a cell measure the recall in a shard, and this is what their mean must reach.
+PROBES, RECALL = 128, 0.92
+#: Factors that are tried, as parts of the way from one to the given one.
+LADDER = (1.0, 0.875, 0.75, 0.625, 0.5, 0.375, 0.25, 0.125, 0.06, 0.03)
 
 
 class Tree:
@@ -39,6 +43,7 @@ class Tree:
         self.nodes: list[tuple] = []  # lo, hi, vantage point, left, right, ranges of distances of left and right
         rng = np.random.default_rng(seed)
         self._build(0, len(vectors), rng)
+        self.scored = 0  # inner products of the searches so far, those with vantage points included
 
     def _distance(self, i: np.ndarray, v: int) -> np.ndarray:
         d = self.x[i] - self.x[v]
@@ -74,6 +79,7 @@ class Tree:
         first = np.full(n, -1)
 
         def dots(who: np.ndarray, own: np.ndarray) -> None:
+            self.scored += len(who) * len(own)
             score = queries[who] @ self.x[own].T
             both = np.concatenate([best[who], score], 1)
             ids = np.concatenate([place[who], np.broadcast_to(own, score.shape)], 1)
@@ -82,6 +88,7 @@ class Tree:
             place[who] = np.take_along_axis(ids, top, 1)
 
         def to_vantage(who: np.ndarray, v: int) -> np.ndarray:
+            self.scored += len(who)
             return np.sqrt(np.maximum(q2[who] + self.norm - 2 * (queries[who] @ self.x[v]), 0.0))
 
         def descend(at: int, who: np.ndarray) -> None:
@@ -127,7 +134,7 @@ class Tree:
         some = queries[np.unique(np.linspace(0, len(queries) - 1, PROBES).astype(int))]
         least = np.partition(some @ self.x.T, -wide, axis=1)[:, -wide, None]
         hair = 1e-12 * np.sqrt(self.norm * np.einsum("ij,ij->i", some, some))[:, None]
-        for share in (1.0, 0.5, 0.25):
+        for share in LADDER:
             now = 1 + (factor - 1) * share
             _, best = self.search(some, held, now)
             if np.minimum((best >= least - hair).sum(1), wide).mean() >= RECALL * wide:
@@ -146,13 +153,13 @@ def _build(batch: pd.DataFrame) -> pd.DataFrame:
     tree = Tree(vectors)
     ids = [np.sort(np.asarray(x, np.int64)) for x in batch["ids"]]
     data = _pack(x=vectors, order=tree.order, nodes=np.array(tree.nodes, np.float64), extra=tree.extra, norm=np.array(tree.norm), ids=np.concatenate(ids), ends=np.cumsum([len(x) for x in ids]))
-    return pd.DataFrame({"dim": [np.int32(vectors.shape[1])], "tree": [data]})
+    return pd.DataFrame({"dim": [np.int32(vectors.shape[1])], "shard": [np.int64(batch["shard"].iloc[0])], "tree": [data]})
 
 
 def _load(data: bytes) -> tuple[Tree, np.ndarray, np.ndarray]:
     held = np.load(io.BytesIO(data))
     tree = Tree.__new__(Tree)
-    tree.x, tree.order, tree.norm, tree.extra = held["x"], held["order"], float(held["norm"]), held["extra"]
+    tree.x, tree.order, tree.norm, tree.extra, tree.scored = held["x"], held["order"], float(held["norm"]), held["extra"], 0
     tree.nodes = [(int(a), int(b), int(v), int(l), int(r), *rest) for a, b, v, l, r, *rest in held["nodes"].tolist()]
     return tree, held["ids"], held["ends"]
 
@@ -162,22 +169,29 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.accumulate(q[None, :] * x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
 
 
-def _search(k: int, factor: float, slack: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, names, vectors in zip(*(batch.column(c) for c in ("tree", "query_ids", "queries")), strict=True):
-                tree, ids, ends = _load(data.as_py())
-                names = np.array(names.as_py(), np.int64)
-                queries = np.array(vectors.as_py(), np.float64).reshape(len(names), -1)
-                found, _ = tree.search(queries, k + slack, tree.fitting(queries, k, k + slack, factor))
-                out: list[tuple] = []
-                for name, q, at in zip(names.tolist(), queries, found, strict=True):
-                    at = at[at >= 0]
-                    score = _scores(q, tree.x[at])
-                    pairs = sorted((-s, i) for s, p in zip(score.tolist(), at.tolist(), strict=True) for i in ids[(ends[p - 1] if p else 0) : ends[p]].tolist() if i != name)
-                    out += [(name, i, -s) for s, i in pairs[:k]]
-                query_id, vec_id, score = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+FOUND = "query_id long, vec_id long, score double, shard long, scored long"
+
+
+def _search(k: int, factor: float, slack: int, block: int):
+    def run(cell: pa.Table) -> pa.Table:
+        """A cell is one row: a tree and a group of queries."""
+        tree, ids, ends = _load(cell.column("tree")[0].as_py())
+        names = np.array(cell.column("query_ids")[0].as_py(), np.int64)
+        queries = np.array(cell.column("queries")[0].as_py(), np.float64).reshape(len(names), -1)
+        fit = tree.fitting(queries, k, k + slack, factor)
+        out: list[tuple] = []
+        for lo in range(0, len(names), block):
+            before = tree.scored
+            found, _ = tree.search(queries[lo : lo + block], k + slack, fit)
+            each = (tree.scored - before) // len(found)
+            for name, q, at in zip(names[lo : lo + block].tolist(), queries[lo : lo + block], found, strict=True):
+                at = at[at >= 0]
+                score = _scores(q, tree.x[at])
+                pairs = sorted((-s, i) for s, p in zip(score.tolist(), at.tolist(), strict=True) for i in ids[(ends[p - 1] if p else 0) : ends[p]].tolist() if i != name)
+                out += [(name, i, -s, each) for s, i in pairs[:k]]
+        query_id, vec_id, score, scored = zip(*out, strict=True) if out else ((), (), (), ())
+        shard = pa.array([cell.column("shard")[0].as_py()] * len(out), pa.int64())
+        return pa.Table.from_arrays([pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score, pa.float64()), shard, pa.array(scored, pa.int64())], ["query_id", "vec_id", "score", "shard", "scored"])
 
     return run
 
@@ -189,7 +203,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return v.where(fit)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 2.0, shard_rows: int = 8192, block: int = 256, slack: int = 8) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 9.0, shard_rows: int = 8192, block: int = 256, slack: int = 8, group_rows: int = 8192, counters: bool = False) -> DataFrame:
     """The ``k`` nearest of ``vectors`` for each of ``queries`` (both ``vec_id``, ``embedding``), found through the trees.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; equal scores by smaller vec_id; a query's own id is no
@@ -197,7 +211,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     without an id; vectors of other lengths than the query's are no candidates; rows that repeat an id and vector count
     once. Fewer candidates than ``k`` are all returned; empty tables give an empty result; other columns are ignored.
     ``slack``: as many more than k are held on the way, for scores that rounding made equal. ``factor`` is the most that a
-    shard prunes by; it takes less where probed queries don't reach ``RECALL``.
+    shard prunes by; it takes less where probed queries don't reach ``RECALL``. ``counters`` adds ``shard`` and ``scored``,
+    the inner products that a query took in the shard on average.
     """
     own = _valid(vectors).groupBy("vec_id", "embedding").agg(F.lit(1)).select("vec_id", "embedding")
     # of equal vectors the k+1 smallest ids suffice: one may be the query's own
@@ -206,12 +221,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     nodes, _ = stored(nodes.withColumn("dim", F.size("embedding")), "vectors")
     shards = max(1, -(-nodes.count() // shard_rows))
     sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)))
-    trees, _ = stored(sharded.groupBy("shard", "dim").applyInPandas(lambda batch: _build(batch), "dim int, tree binary"), "trees")
+    trees, _ = stored(sharded.repartition(min(4 * shards, 20_000), "shard", "dim").groupBy("shard", "dim").applyInPandas(lambda batch: _build(batch), "dim int, shard long, tree binary"), "trees")
+
     asked = _valid(queries).groupBy("vec_id", "embedding").agg(F.lit(1)).select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    blocks = max(1, -(-asked.count() // block))
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block", "dim").agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("embedding")).alias("queries")).drop("block")
-    # blocks of queries against every tree of their dimension
-    pairs = packed.repartition(max(1, min(blocks, 4096))).join(trees, "dim").select("tree", "query_ids", "queries")
-    found = pairs.mapInArrow(_search(k, factor, slack), "query_id long, vec_id long, score double")
+    asked, _ = stored(asked, "queries")
+    # groups as large as a tree at most, and small enough that there are cells for every core
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n = asked.count()
+    groups = max(1, -(-n // group_rows), min(-(-n // block), -(-2 * cores // shards)))
+    grouped = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("group", "dim").agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("embedding")).alias("queries"))
+    tasks = min(4 * shards * groups, 100_000)
+    cell = F.col("shard") * groups + F.col("group")
+    left = trees.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("dim", "shard", "tree", cell.alias("cell")).repartition(tasks, "cell")
+    right = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(F.col("dim").alias("of"), "query_ids", "queries", cell.alias("cell")).repartition(tasks, "cell")
+    pairs = left.join(right.hint("shuffle_hash"), "cell").where("dim = of")
+    found = pairs.groupBy("cell", "dim").applyInArrow(_search(k, factor, slack, block), FOUND)
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *(["shard", "scored"] if counters else []))
