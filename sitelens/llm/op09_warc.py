@@ -1,9 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id; each task writes its range to gzip-per-record archives, begins a new file when the
-compressed size is reached, regenerates headers and digests, and renames each file from a temporary name once it is
-whole. A task that runs again writes the same bytes under the same names. The manifest lists the files that count; the
+Records are range-sorted by page_id; each shard is a range, written to gzip-per-record archives: a new file begins when the
+compressed size is reached, headers and digests are regenerated, and each file is renamed from a temporary name once it
+is whole. A task that runs again writes the same bytes under the same names. The manifest lists the files that count; the
 reader takes nothing else.
+
+Where a shard ends follows from the pages alone, not from the cluster or the input's files: bytes are counted by ranges of
+page_id, ranges with too many bytes again by smaller ones, and neighbouring ranges are put together up to ``shard_bytes``.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +55,8 @@ def _uri(url: str | None) -> str:
     return quote(url or "about:blank", safe="!#$%&'()*+,/:;=?@[]~-._")
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """A response, or with ``refers_to`` a revisit of that page's response."""
     digest = hashlib.sha256(payload).hexdigest()
     block = HTTP if refers_to is not None else HTTP + payload
     fields = [
@@ -67,7 +73,13 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     if url is not None:
         fields.append(("X-Page-Url", quote(url, safe="/:")))
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", str(refers_to))]
+        fields += [
+            ("WARC-Profile", PROFILE),
+            ("WARC-Refers-To", record_id(refers_to, refers_url, digest)),
+            ("WARC-Refers-To-Target-URI", _uri(refers_url)),
+            ("WARC-Refers-To-Date", DATE),
+            ("X-Refers-To-Page", str(refers_to)),
+        ]
     return _head([*fields, ("Content-Type", "application/http; msgtype=response")], block)
 
 
@@ -77,17 +89,17 @@ def _info(name: str) -> bytes:
 
 
 class _Shard:
-    """The files of one task."""
+    """The files of one shard."""
 
-    def __init__(self, root: str, task: int, attempt: int, roll: int):
+    def __init__(self, root: str, shard: int, attempt: int, roll: int):
         self.fs, self.root = _fs(root)
-        self.task, self.attempt, self.roll = task, attempt, roll
+        self.shard, self.attempt, self.roll = shard, attempt, roll
         self.n, self.out, self.done = 0, None, []
 
     def write(self, page_id: int | None, record: bytes) -> None:
         if self.out is None:
-            self.name = f"part-{self.task:05d}-{self.n:05d}.warc.gz"
-            self.temporary = f"{self.root}/_temporary/{self.task}-{self.attempt}-{uuid.uuid4().hex}"
+            self.name = f"part-{self.shard:06d}-{self.n:05d}.warc.gz"
+            self.temporary = f"{self.root}/_temporary/{self.shard}-{self.attempt}-{uuid.uuid4().hex}"
             self.out = self.fs.open_output_stream(self.temporary, compression=None)
             self.sha, self.size, self.records, self.first = hashlib.sha256(), 0, 0, None
             self._put(_info(self.name))
@@ -122,49 +134,107 @@ def _long(x) -> int | None:
 
 def _writer(root: str, roll: int, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = TaskContext.get()
-        shard = _Shard(root, context.partitionId(), context.taskAttemptId(), roll)
+        attempt = TaskContext.get().taskAttemptId()
+        done, shard = [], None
         mark, seen = {}, {}
         at = None
         for batch in batches:
-            for page_id, kind, url, payload, digest, refers in zip(*(batch[c] for c in ("page_id", "kind", "url", "payload", "digest", "refers_to")), strict=True):
+            for number, page_id, kind, url, payload, digest, refers in zip(*(batch[c] for c in ("shard", "page_id", "kind", "url", "payload", "digest", "refers_to")), strict=True):
+                if shard is None or shard.shard != number:
+                    if shard is not None:
+                        shard.close()
+                        done += shard.done
+                    shard = _Shard(root, number, attempt, roll)
                 page = _long(page_id)
                 if page != at:
                     at, mark, seen = page, {}, {}
                 if kind == 0:
-                    mark[digest] = int(refers)
+                    mark[digest] = (int(refers), url)
                     continue
                 payload = bytes(payload)
                 own = hashlib.sha256(payload).hexdigest()
-                to = None
+                to = refers_url = None
                 if page is not None and len(payload) >= least:
-                    to = mark.get(own, page if own in seen else None)
-                    seen[own] = True
-                shard.write(page, page_record(page, url, payload, to))
-        shard.close()
-        yield pd.DataFrame(shard.done, columns=["file", "records", "bytes", "sha256", "first_page", "last_page"]).astype({"first_page": "Int64", "last_page": "Int64"})
+                    to, refers_url = mark.get(own, (page, seen[own]) if own in seen else (None, None))
+                    seen.setdefault(own, url)
+                shard.write(page, page_record(page, url, payload, to, refers_url))
+        if shard is not None:
+            shard.close()
+            done += shard.done
+        yield pd.DataFrame(done, columns=["file", "records", "bytes", "sha256", "first_page", "last_page"]).astype({"first_page": "Int64", "last_page": "Int64"})
 
     return run
 
 
-def write_warc(pages: DataFrame, root: str, roll_bytes: int = 256 << 20, least_revisit: int = 100) -> DataFrame:
+def shard_starts(sizes: DataFrame, shard_bytes: int, bits: int = 16) -> list[int]:
+    """First keys of the shards over ``key`` (long, not null) and ``bytes``: the same for the same rows, however they are dealt out.
+
+    The driver gets 2^``bits`` sums, and as many again for each range that has more than a shard's bytes, as long as a
+    range holds several keys. Neighbouring ranges are one shard up to ``shard_bytes``.
+    """
+    low, high = sizes.agg(F.min("key"), F.max("key")).first()
+    if low is None:
+        return []
+    ranges: list[tuple[int, int]] = []  # first key, bytes
+    pending, shift = [low], max(0, (high - low).bit_length() - bits)
+    while True:
+        # of the keys in pending ranges; all of them at first
+        start = F.lit(low) + F.shiftleft(F.shiftright(F.col("key") - low, shift), shift) if high - low < 1 << 63 else F.shiftleft(F.shiftright("key", shift), shift)
+        own = sizes if pending == [low] and not ranges else sizes.join(F.broadcast(sizes.sparkSession.createDataFrame([(p,) for p in pending], "_p long")), F.col("_p") == parent)
+        found = [(r.s, r.b) for r in own.groupBy(start.alias("s")).agg(F.sum("bytes").alias("b")).collect()]
+        pending = [s for s, b in found if b > shard_bytes and shift]
+        ranges += [(s, b) for s, b in found if not (b > shard_bytes and shift)]
+        if not pending:
+            break
+        parent, shift = start, max(0, shift - bits)
+    starts, held = [], None
+    for s, b in sorted(ranges):
+        if held is None or held + b > shard_bytes:
+            starts.append(s)
+            held = 0
+        held += b
+    return starts
+
+
+def write_warc(pages: DataFrame, root: str, roll_bytes: int = 256 << 20, least_revisit: int = 100, shard_bytes: int = 64 << 20) -> DataFrame:
     """Writes ``pages`` (``page_id``, ``url``, ``html``) as archives under ``root``; returns the manifest.
 
     A null html is an empty payload; a null url is kept apart from an empty one. Of equal payloads of at least
     ``least_revisit`` bytes the one with the smallest page_id is a response and the others revisit it; a page_id that comes
     twice with one payload is a response, then a revisit of itself. Rows without a page_id are responses. Other columns
-    are ignored; an empty table gives an empty manifest.
+    are ignored; an empty table gives an empty manifest. ``shard_bytes`` of payload are a shard (a task's work) at most,
+    unless one page_id has more; there are 100,000 shards at most, larger ones then.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    large = rows.where((F.length("payload") >= least_revisit) & F.col("page_id").isNotNull()).select("page_id", F.sha2("payload", 256).alias("digest"))
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    marks = large.join(stored(first, "warc-first")[0], "digest").where("page_id > refers_to").distinct()
+    known = rows.where("page_id is not null")
+    large = known.where(F.length("payload") >= least_revisit).select("page_id", "url", F.sha2("payload", 256).alias("digest"))
+    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("to"), F.max("page_id").alias("last")).where("to.page_id < last").drop("last")
+    marks = large.select("page_id", "digest").join(stored(first, "warc-first")[0], "digest").where("page_id > to.page_id").distinct()
     none = F.lit(None)
-    marks = marks.select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "refers_to")
+    # a mark tells its page, before its rows, which payload is elsewhere; its url is that of the response
+    marks = marks.select("page_id", F.lit(0).alias("kind"), F.col("to.url").alias("url"), none.cast("binary").alias("payload"), "digest", F.col("to.page_id").alias("refers_to"))
     both = rows.withColumns({"digest": none.cast("string"), "refers_to": none.cast("long")}).unionByName(marks)
-    sorted_ = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", F.col("url").asc_nulls_first(), F.sha2("payload", 256))
+
+    sizes, _ = stored(known.select(F.col("page_id").alias("key"), (F.length("payload") + 512).cast("long").alias("bytes")), "warc-sizes")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    starts = np.array(shard_starts(sizes, max(shard_bytes, total // 50_000)), np.int64)
+    shared = spark.sparkContext.broadcast(starts)
+
+    @F.arrow_udf("int")
+    def shard_of(ids: pa.Array) -> pa.Array:
+        """From one on by the shards' first pages; rows without a page_id are shard zero."""
+        at = np.searchsorted(shared.value, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.maximum(at, 1)), pa.int32())
+
+    # rows without a page_id may be any number: they are dealt out by their payload, to as many shards as others have beside
+    spread = max(1, min(len(starts), 1000))
+    apart = F.pmod(F.xxhash64("url", "payload"), F.lit(spread)).cast("int")
+    sharded = both.withColumn("shard", shard_of("page_id")).withColumn("shard", F.when(F.col("page_id").isNull(), -1 - apart).otherwise(F.col("shard")))
+    sharded = sharded.withColumn("shard", F.when(F.col("shard") < 0, len(starts) - F.col("shard")).otherwise(F.col("shard")))
+    tasks = max(1, min(2 * len(starts), 100_000))
+    sorted_ = sharded.repartition(tasks, "shard").sortWithinPartitions("shard", "page_id", "kind", F.col("url").asc_nulls_first(), F.sha2("payload", 256))
     folder = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_temporary")
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
@@ -242,9 +312,9 @@ def _reader(root: str, rows: int, keep: bool):
 
 
 def read_warc(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
-    """The records of every file in the manifest of ``root``. Digests and lengths are checked on the way."""
+    """The records of every file in the manifest of ``root``. Digests and lengths are checked on the way. A file is a task's work."""
     files = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest").select("file")
-    return files.repartition("file").mapInPandas(_reader(root, 256, payloads), RECORDS)
+    return files.repartition(max(1, min(files.count(), 100_000))).mapInPandas(_reader(root, 256, payloads), RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, roll_bytes: int = 256 << 20) -> DataFrame:
