@@ -16,7 +16,7 @@ from sitelens.llm.common import new_path
 from sitelens.llm.op03_bpe import codec, decode, default_path, default_pattern, digests, encode, encode_words, round_trip
 from sitelens.llm.op06_templates import decontaminate, leaks
 from sitelens.llm.op07_html import ARTICLE, FRAME, WEAK, common_lines, extract_main_text, page_lines
-from sitelens.llm.op09_warc import archive_round_trip, read_warc, write_warc
+from sitelens.llm.op09_warc import archive_round_trip, read_warc, shard_starts, write_warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,7 +138,8 @@ def test_leaks_against_brute_force(spark):
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if flat(i.text) in flat(d.text)}
     got = {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
     assert want and want <= got
-    assert {(r.doc_id, r.item_id) for r in leaks(docs.limit(300), items, broadcast_windows=0).collect()} <= got
+    some = docs.where("doc_id < 300")
+    assert sorted(map(tuple, leaks(some, items, broadcast_windows=0).collect())) == sorted(map(tuple, leaks(some, items).collect()))
 
 
 def test_changed_slots(spark):
@@ -151,6 +152,32 @@ def test_changed_slots(spark):
     assert leaks(docs.limit(0), item).count() == 0 and leaks(docs, item.limit(0)).count() == 0
 
 
+ITEM = "Mary has 12 apples and gives 5 apples to John Smith. Mary then buys 3 more bags of 1,200 grams each. How many apples does she have?"
+LEAKS = [
+    (ITEM, True),
+    ("Intro text. " + ITEM.lower(), True),
+    (ITEM.replace("Mary", "Peter Van Dyke").replace("John Smith", "Ann"), True),  # slots of another length, also where sentences begin
+    (ITEM.replace("1,200", "900").replace("12", "3.5").replace("grams", "ounces"), True),
+    (ITEM.replace("12", "7").replace("5", "7").replace("3", "7").replace("1,200", "7"), False),  # values fall together
+    ("Mary has 12 apples and gives 5 apples to John Smith. Here some other words stand in between. Mary then buys 3 more bags of 1,200 grams each.", True),
+    ("What is the capital of France?", True),  # an item of six tokens, as a whole
+    ("So what is the capital of Peru? Lima.", True),
+    ("What is the currency of France?", False),
+    ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 or 16", True),  # hardly a plain word: as it is written
+    ("2 2 3 4 5 6 7 9 9 10 11 12 13 15 or 17", False),
+]
+
+
+def test_templates(spark):
+    items = spark.createDataFrame([(1, ITEM), (2, "What is the capital of France?"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 or 16"), (4, "too short"), (None, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(LEAKS)] + [(50, "too short " + "word " * 200_000), (50, ITEM), (51, "clean")], "doc_id long, text string").selectExpr("*", "1 as k", "'x' as _doc")
+    found = leaks(docs, items).collect()
+    assert {r.doc_id for r in found} == {i for i, (_, bad) in enumerate(LEAKS) if bad} | {50}
+    kept = decontaminate(docs, items).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, (_, bad) in enumerate(LEAKS) if not bad] + [50, 51]
+    assert next(r for r in kept if r.doc_id == 50).text.startswith("too short")
+
+
 # --- extraction
 
 
@@ -257,6 +284,32 @@ def test_archives(spark):
     assert archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_the_same_however_pages_are_dealt_out(spark, tmp_path):
+    pages = table(spark, "pages", "/root/testdata/sf0.01").select("page_id", "url", "html")
+    pages = pages.unionByName(spark.createDataFrame([(1 << 62, "far", "x" * 400), (-(1 << 62), "near", "y" * 300), (3, "long", "z" * 3_000_000), (None, "none", "n" * 200), (None, None, None)], pages.schema))
+    files = []
+    for n, dealt in enumerate((pages, pages.repartition(13), pages.orderBy(F.desc("url")).coalesce(2))):
+        with_shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", 3 + 4 * n)
+        manifest = write_warc(dealt, f"{tmp_path}/{n}", shard_bytes=200_000)
+        files.append(sorted(map(tuple, manifest.collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", with_shuffle)
+    assert files[0] == files[1] == files[2] and len(files[0]) > 5
+    assert read_warc(spark, f"{tmp_path}/0").where("length(payload) = 3000000").count() == 1
+    inside = [f for f in files[0] if f[4] is not None]
+    assert all(a[5] < b[4] for a, b in zip(inside, inside[1:], strict=False))  # ranges follow one another
+
+
+def test_shards_end_where_the_bytes_say(spark):
+    rng = np.random.default_rng(9)
+    keys = sorted({*map(int, rng.integers(-(1 << 62), 1 << 62, 50)), *range(1000, 1400), 5})
+    sizes = [(k, int(b)) for k, b in zip(keys, rng.integers(1, 100, len(keys)), strict=True)]
+    starts = shard_starts(spark.createDataFrame(sizes, "key long, bytes long"), 500, bits=6)
+    held = [sum(b for k, b in sizes if lo <= k and (hi is None or k < hi)) for lo, hi in zip(starts, [*starts[1:], None], strict=True)]
+    assert starts == sorted(starts) and starts[0] <= keys[0] and max(held) <= 500 and sum(held) == sum(b for _, b in sizes)
+    assert shard_starts(spark.createDataFrame([], "key long, bytes long"), 500) == []
+
+
 # --- pipeline
 
 
