@@ -1,10 +1,11 @@
 """Importance resampling: the ratio of two hashed n-gram models, sampled by Gumbel top-k.
 
-Two bag models over hashed words are counted: of target text (labelled as of good quality and not toxic) and of the raw
-corpus. A bucket's log ratio is smoothed towards zero by ``prior`` target occurrences. A document's log weight is that of
-its least likely run of ``window`` words, so that a short toxic passage isn't outweighed by the length of the rest. To the
-log weight comes Gumbel noise, fixed by doc_id, and the documents with the k largest sums are the sample; without a k, k is
-how many exceed the border that separates held-out labels best.
+Two models over hashed words and pairs of words are counted: of target text (labelled as of good quality and not toxic) and
+of the raw corpus. A bucket's log ratio is smoothed towards zero by ``prior`` target occurrences. ``log_ratio`` is the ratio of
+the models for the whole text, the sum over its n-grams. What is sampled by, ``log_weight``, is the ratio for its least
+likely run of ``window`` words, so that a short toxic passage isn't outweighed by the length of the rest (with no window it
+is ``log_ratio``). To the log weight comes Gumbel noise, fixed by doc_id, and the documents with the k largest sums are the
+sample. Without a k, k is how many documents exceed the border that separates held-out labels best.
 
 Counts cover the whole corpus. Only labels are sampled: ``max_labels`` of them at most, those of least hash.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import stored
+from sitelens.llm.common import stored, unused
 from sitelens.llm.wordhash import mix, span_hashes, text_parts, word_spans
 
 BITS = 22
@@ -38,7 +39,7 @@ def buckets(data: np.ndarray, bounds: np.ndarray, order: int, bits: int) -> tupl
         for n in range(1, order):
             joined = h.copy()
             for back in range(1, n + 1):
-                joined[back:] = mix(joined[back:] + np.uint64(back) * h[:-back])
+                joined[back:] = mix(joined[back:] * np.uint64(0x9E3779B97F4A7C15) + h[:-back])  # in this order: a pair isn't its reverse
             short = np.arange(len(h)) - first[row] < n
             joined[short] = h[short]
             grams.append(joined)
@@ -75,12 +76,13 @@ def label_sample(labels: DataFrame, max_labels: int, seed: int) -> DataFrame:
 class Model:
     """Log ratios by bucket, in units."""
 
-    def __init__(self, ratios: np.ndarray, order: int, bits: int, window: int):
+    def __init__(self, ratios: np.ndarray, order: int, bits: int, window: int | None):
         self.ratios, self.order, self.bits, self.window = ratios, order, bits, window
 
-    def log_weights(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros(len(texts))
-        window = self.window * self.order
+    def log_weights(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The log ratio of each whole text, and that of its least likely window."""
+        out, least = np.zeros(len(texts)), np.zeros(len(texts))
+        window = (self.window or 0) * self.order
         for at, data, bounds in text_parts(texts):
             own, first = buckets(data, bounds, self.order, self.bits)
             total = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.ratios[own], dtype=np.int64)])
@@ -88,16 +90,19 @@ class Model:
             full = np.nonzero(end > start)[0]
             if not len(full):
                 continue
+            out[at + full] = (total[end] - total[start])[full] / UNIT
+            if not window:
+                continue
             row_end = np.repeat(end, end - start)
             row_start = np.repeat(start, end - start)
             place = np.arange(len(own))
             run = total[np.minimum(place + window, row_end)] - total[place]
             run[place > np.maximum(row_end - window, row_start)] = np.iinfo(np.int64).max
-            out[at + full] = np.minimum.reduceat(run, start[full]) / UNIT
-        return out
+            least[at + full] = np.minimum.reduceat(run, start[full]) / UNIT
+        return out, least if window else out
 
 
-def fit(docs: DataFrame, sample: DataFrame, order: int = 1, bits: int = BITS, window: int = 32, prior: float = 1.0) -> Model:
+def fit(docs: DataFrame, sample: DataFrame, order: int = 2, bits: int = BITS, window: int | None = 32, prior: float = 4.0) -> Model:
     """Counts both models over all of ``docs``; the driver gets 2^bits numbers of four bytes, however large the corpus."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.where("fit and good").select("doc_id", F.lit(True).alias("target"))), "doc_id", "left")
     counts = marked.select("text", "target").mapInArrow(_count(order, bits), "bucket int, raw long, target long")
@@ -114,12 +119,13 @@ def fit(docs: DataFrame, sample: DataFrame, order: int = 1, bits: int = BITS, wi
     return Model(ratios, order, bits, window)
 
 
-def log_weight(docs: DataFrame, model: Model) -> Column:
+def log_weights(docs: DataFrame, model: Model) -> Column:
+    """A struct of ``log_ratio`` and ``log_weight``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("log_ratio double, log_weight double")
     def weigh(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.log_weights(texts))
+        return pa.StructArray.from_arrays([pa.array(x) for x in shared.value.log_weights(texts)], ["log_ratio", "log_weight"])
 
     return weigh(F.col("text").cast("string"))
 
@@ -149,20 +155,25 @@ def border(scored: list[tuple[float, bool]], drop_cost: float = 5.0) -> float:
 
 
 def weighed(docs: DataFrame, labels: DataFrame, max_labels: int = 100_000, temperature: float = 0.25, seed: int = 7, **model) -> tuple[DataFrame, float]:
-    """``docs`` with ``log_weight`` and ``sample_key``, and the border of the log weights."""
+    """``docs`` with ``log_ratio``, ``log_weight`` and ``sample_key``, and the border of the log weights.
+
+    ``temperature`` scales the noise: one is sampling by the models' ratio, zero takes the k of most weight.
+    """
     sample, _ = stored(label_sample(labels, max_labels, seed), "labels")
     own = fit(docs, sample, **model)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.where("not fit")), "doc_id")
-    scored = [(r.w, r.good) for r in held.select(log_weight(docs, own).alias("w"), "good").collect()]
-    out = docs.withColumn("log_weight", log_weight(docs, own))
+    scored = [(r.w, r.good) for r in held.select(log_weights(docs, own)["log_weight"].alias("w"), "good").collect()]
+    both = unused(docs, "_weights")[0]
+    out = docs.withColumn(both, log_weights(docs, own)).select("*", f"{both}.log_ratio", f"{both}.log_weight").drop(both)
     return out.withColumn("sample_key", F.col("log_weight") + F.lit(temperature) * gumbel(seed)), border(scored)
 
 
 def top_k(keyed: DataFrame, k: int, key: str = "sample_key", tie: str = "doc_id") -> DataFrame:
     """The ``k`` rows of largest key, ties by smaller id: the k-th key is found by four counts of 16 bits of the keys each."""
     # keys as longs of the same order, to the billionth
-    keyed = keyed.withColumn("_rank_key", F.round(F.col(key) * 1e9).cast("long"))
-    high = F.col("_rank_key") + F.lit(1 << 62)
+    rank = unused(keyed, "_rank")[0]
+    keyed = keyed.withColumn(rank, F.round(F.col(key) * 1e9).cast("long"))
+    high = F.col(rank) + F.lit(1 << 62)
     left, prefix = k, None
     for step in range(4):
         shift = 48 - 16 * step
@@ -174,21 +185,23 @@ def top_k(keyed: DataFrame, k: int, key: str = "sample_key", tie: str = "doc_id"
                 break
             left -= n
         else:
-            return keyed.drop("_rank_key")
+            return keyed.drop(rank)
     ties = keyed.where(high == prefix).orderBy(tie).limit(left)
-    return keyed.where(high > prefix).unionByName(ties).drop("_rank_key")
+    return keyed.where(high > prefix).unionByName(ties).drop(rank)
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> DataFrame:
-    """The documents sampled, with ``log_weight`` and ``sample_key`` after the columns of ``docs``.
+    """The documents sampled, with ``log_ratio``, ``log_weight`` and ``sample_key`` after the columns of ``docs``.
 
     ``docs``: ``doc_id``, ``text``; ``labels``: ``doc_id``, ``quality``, ``toxic``. Texts that are null or empty weigh zero.
     Without labels of both kinds, and no ``k``, every document is in the sample. A doc_id labelled twice is a target if
-    every label says so; repeated rows have one key and stay or go together unless ``k`` ends among them; a null doc_id has
-    noise of its own and no label; other columns pass through; an empty table gives an empty one.
+    every label says so; rows that repeat an id have one noise, and rows that repeat its text too stay or go together
+    unless ``k`` ends among them; a null doc_id has noise of its own and no label; other columns pass through; an empty
+    table gives an empty one.
     """
-    docs = docs.drop("log_weight", "sample_key")
+    docs = docs.drop("log_ratio", "log_weight", "sample_key")
     keyed, at = weighed(docs, labels, **options)
-    if k is not None:
-        return top_k(stored(keyed, "keyed")[0], k)
-    return keyed if at == float("-inf") else keyed.where(F.col("sample_key") > at)
+    keyed, _ = stored(keyed, "keyed")
+    if k is None:
+        k = keyed.where(F.col("sample_key") > at).count() if at > float("-inf") else keyed.count()
+    return top_k(keyed, k)

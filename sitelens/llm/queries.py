@@ -50,7 +50,7 @@ def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sample_key")
+    return resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "log_ratio", "log_weight", "sample_key")
 
 
 def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,38 @@ def test_top_k_and_edges(spark):
     assert resampling.border([(0.0, True), (1.0, True)]) == float("-inf") and 1 < resampling.border([(1.0, False), (2.0, True)]) < 2
 
 
+def test_models_and_sample_against_brute_force(spark):
+    """Counts, ratios, weights of texts and windows in plain Python; the sample is the k rows of largest key."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)] + ["vile", "foul"]
+    texts = [" ".join(rng.choice(words[60:] if i % 3 == 0 and rng.random() < 0.3 else words[:60]) for _ in range(rng.choice((1, 5, 40, 90)))) for i in range(300)] + ["", None, "word " * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as _rank", "2 as _weights")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    prior, window = 4.0, 32
+    target = {r.doc_id for r in resampling.label_sample(labels, 1000, 7).where("fit and good").collect()}
+    grams = []
+    for t in texts:
+        w = (t or "").split()
+        grams.append([g for i in range(len(w)) for g in ((w[i],), (w[i - 1], w[i]) if i else (w[i],))])
+    raw, good = {}, {}
+    for i, own in enumerate(grams):
+        for g in own:
+            raw[g] = raw.get(g, 0) + 1
+            good[g] = good.get(g, 0) + (i in target)
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {g: np.log((good[g] + prior) / (raw[g] * share + prior)) for g in raw}
+    every = {r.doc_id: r for r in resampling.weighed(docs, labels)[0].collect()}
+    for i, own in enumerate(grams):
+        v = [ratio[g] for g in own]
+        runs = [sum(v[j : j + 2 * window]) for j in range(max(1, len(v) - 2 * window + 1))] if i < 302 else [sum(v[: 2 * window]), sum(v[2 : 2 + 2 * window])]
+        assert abs(every[i].log_ratio - sum(v)) < 1e-4 + 1e-6 * len(v) and abs(every[i].log_weight - min(runs)) < 1e-3
+    for k in (0, 1, 77, 302, 400):
+        kept = {r.doc_id for r in resampling.resample(docs, labels, k).collect()}
+        assert kept == set(sorted(every, key=lambda i: (-every[i].sample_key, i))[:k])
+    free = {r.doc_id for r in resampling.resample(docs, labels).collect()}
+    assert free == set(sorted(every, key=lambda i: (-every[i].sample_key, i))[: len(free)]) and 0 < len(free) < 303
+
+
 # --- byte-level BPE
 
 
