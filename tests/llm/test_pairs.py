@@ -94,12 +94,31 @@ def test_recall_with_uneven_norms(spark, norms):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("spread, most", [(None, 0.95), (0.25, 0.3)])
+def test_share_that_is_scored(spark, spread, most):
+    """Unit vectors, at random or around centres, in several shards: what pruning leaves, at a recall of 0.9 and more."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 48)) if spread is None else rng.normal(size=(60, 48))[rng.integers(0, 60, 9000)] + spread * rng.normal(size=(9000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = nearest(v, v.where("vec_id % 20 = 0"), shard_rows=4000, counters=True).collect()
+    got, scored = {}, {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        scored[r.query_id, r.shard] = r.scored
+    score = x[::20] @ x.T
+    score[np.arange(450), np.arange(0, 9000, 20)] = -np.inf
+    want = np.argsort(-score, 1)[:, :20]
+    assert np.mean([len(got[20 * i] & set(w)) / 20 for i, w in enumerate(want.tolist())]) >= 0.9
+    assert len({s for _, s in scored}) == 3 and np.mean(list(scored.values())) < most * 3000
+
+
 # --- fingerprints
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)] if words else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
@@ -128,11 +147,20 @@ def test_simhash_groups(spark, docs):
             low[r] = min(low.get(r, s.doc_id), s.doc_id)
     want = sorted(((s.doc_id, f"{f:016x}", low.get(r)) for s, f, r in zip(source, v.tolist(), root.tolist(), strict=True)), key=repr)
     assert sorted((tuple(r) for r in rows), key=repr) == want
-    kept = keep_one(all_).collect()
+    kept = keep_one(all_, 3).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(low.values()))
     assert simhash_groups(all_.limit(0)).count() == 0
 
 
+def test_one_of_each_group_stays(spark, docs):
+    """Ids that come with several texts are several documents; rows that repeat both are one."""
+    a, b = (r.text for r in docs.where("length(text) > 500").orderBy("doc_id").limit(2).collect())
+    rows = [(7, a), (7, b), (7, b), (3, a), (9, None), (9, ""), (8, None), (None, a)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _doc", "2 as _key", "3 as k", "4 as fp")
+    assert sorted(((r.doc_id, r.text) for r in keep_one(table).collect()), key=str) == sorted([(3, a), (7, b), (8, None), (None, a)], key=str)
+    assert keep_one(table.limit(0)).count() == 0
+
+
 def test_dense_lists_link_as_others():
     base = 0x1234567890ABCDEF
     f = np.unique(np.array([base ^ int(z) for z in RNG.integers(0, 1 << 22, 1500)], np.uint64))
@@ -172,11 +200,51 @@ def test_repeated_passages(spark, docs):
     assert set(out) == {2} and len(out[2]) < 300 and out[2].startswith("another way")
 
 
+def test_passages_of_two_texts_under_one_id(spark):
+    """One of the texts repeats a passage, the other one stays whole; rows that repeat an id and a text repeat nothing."""
+    passage = " ".join(f"word{i * 7919 % 1000}" for i in range(80))
+    other = " ".join(f"other{i * 104729 % 1000}" for i in range(120))
+    docs = spark.createDataFrame([(1, "begin " + passage), (2, "here " + passage + " end"), (2, other), (3, "alone " + other[:40]), (4, "x " * 10), (4, "x " * 10)], "doc_id long, text string").selectExpr("*", "1 as k", "2 as high")
+    spans = repeated_spans(docs)
+    found = {(r.doc_id, r.start, r.length, r.again) for r in spans.collect()}
+    assert {(d, again) for d, _, _, again in found} == {(1, False), (2, True)}
+    data = ("here " + passage + " end").encode()
+    assert all(data[s : s + n].decode() in passage for d, s, n, _ in found if d == 2)
+    out = [(r.doc_id, len(r.text)) for r in remove_spans(docs, spans).collect()]
+    assert len(out) == 1 and out[0][0] == 2 and out[0][1] < 250
+
+
+def test_chunks_against_brute_force(spark, docs):
+    """Spans, first occurrences and removals as a plain count of chunks gives them, on documents of one text an id."""
+    texts = {r.doc_id: r.text.encode() for r in docs.dropDuplicates(["doc_id"]).collect()}
+    every, places = {}, {}
+    for d in sorted(texts):
+        at = 0
+        for end in cuts(np.frombuffer(texts[d], np.uint8), *PLAN):
+            every.setdefault(texts[d][at:end], []).append((d, at))
+            places.setdefault(d, []).append((at, end))
+            at = end
+    want = set()
+    for d, own in places.items():
+        run = []
+        for at, end in [*own, (None, None)]:
+            hit = at is not None and len(every[texts[d][at:end]]) > 1
+            if hit:
+                run.append((at, end))
+            elif run:
+                if run[-1][1] - run[0][0] >= 80:
+                    want |= {(d, p, every[texts[d][s:e]][0] != (d, s)) for s, e in run for p in range(s, e)}
+                run = []
+    got = {(r.doc_id, p, r.again) for r in repeated_spans(docs.dropDuplicates(["doc_id"])).collect() for p in range(r.start, r.start + r.length)}
+    assert want and got == want
+
+
 # --- lines
 
 
 def line_sets(line):
-    return frozenset(line[m.start() : m.start() + 5] for m in re.finditer(r"(?a)\S{1,5}", line))
+    """Character shingles from every position."""
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
 
 
 def test_lines_against_brute_force(spark, docs):
@@ -220,6 +288,38 @@ def test_lines_of_families_on_one_template(spark):
     assert got == {i for i, r in enumerate(root) if i != r}
 
 
+@pytest.mark.parametrize("shared, own", [(30, 14), (40, 12), (20, 20)])
+def test_lines_of_thousands_on_one_template(spark, shared, own):
+    """Many centres behind one prefix of common words, each with variants by one word; recall against all pairs."""
+    rng = np.random.default_rng(shared)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(3000)]
+    head, rows = " ".join(words[:shared]), []
+    for _ in range(700):
+        centre = [words[k] for k in rng.integers(0, 3000, own)]
+        for _ in range(rng.integers(1, 5)):
+            w = list(centre)
+            w[rng.integers(0, own)] = words[rng.integers(0, 3000)]
+            rows.append(head + " " + " ".join(w))
+    rows = list(dict.fromkeys(rows))
+    sets = [line_sets(x) for x in rows]
+    column = {t: i for i, t in enumerate(set().union(*sets))}
+    from_, to = zip(*((i, column[t]) for i, s in enumerate(sets) for t in s), strict=True)
+    shown = np.zeros((len(sets), len(column)), np.float32)
+    shown[list(from_), list(to)] = 1
+    both, size = shown @ shown.T, shown.sum(1)
+    i, j = np.nonzero(both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6)
+    root = clusters(len(sets), [p for p in zip(i.tolist(), j.tolist(), strict=True) if p[0] < p[1]]).tolist()
+    want = {i for i, r in enumerate(root) if i != r}
+    got = {r.doc_id for r in line_report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect() if r.n_removed}
+    assert len(want) > 100 and not got - want and len(got) >= 0.98 * len(want)
+
+
+def test_lines_of_two_texts_under_one_id(spark):
+    a, b = "alpha line of the first text\nbeta line that is here once\nalpha line of the first text", "gamma line of the second\ndelta 4711 unlike others\nunique epsilon sentence five"
+    docs = spark.createDataFrame([(3, a), (3, b), (4, "zeta words alone"), (4, a)], "doc_id long, text string")
+    assert sorted(r.text for r in dedup_lines(docs).collect()) == sorted(["\n".join(a.split("\n")[:2]), b, "zeta words alone"])
+
+
 def test_lines_without_spaces(spark):
     """Lines of one run, one character put in or taken out, against Jaccard of windows at every character."""
     rng = np.random.default_rng(11)

@@ -364,6 +364,90 @@ def test_pipeline(spark):
     assert one == two
 
 
+def stage_by_stage(spark, docs, sf):
+    """(name, input rows, output rows) of each stage."""
+    import corpus_pipeline
+
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_path(spark, name)
+        stage(spark, docs, sf).write.parquet(path)
+        then = spark.read.parquet(path)
+        out.append((name, docs.collect(), then.collect()))
+        docs = then
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage's rows from its own input, in plain Python."""
+    import tiktoken
+
+    from tests.llm.test_pairs import clusters, line_sets, plain_fingerprint
+
+    docs, items = table(spark, "documents"), [r.text for r in table(spark, "benchmark").collect()]
+    extra = [(900_001, "Here comes: " + items[0], "en", "x", 0), (900_002, "one line of its own\n" + docs.where("doc_id = 1").first().text, "en", "x", 0)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    stages = {name: (a, b) for name, a, b in stage_by_stage(spark, docs, SF)}
+
+    rows, kept = stages["quality"]
+    good = {r.doc_id for r in table(spark, "labels").collect() if r.quality == 1 and r.toxic == 0}
+    keys, at = resampling.weighed(docs, table(spark, "labels"))
+    assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in keys.collect() if r.sample_key > at)
+    assert len(good & {r.doc_id for r in rows} - {r.doc_id for r in kept}) <= 0.05 * len(good)
+
+    rows, kept = stages["line_dedup"]
+    places = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        for p, x in enumerate(r.text.split("\n")):
+            if x.strip():
+                places.setdefault(x, []).append((r.doc_id, p))
+    sets = [line_sets(x) for x in places]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    groups = {}
+    for r, own in zip(clusters(len(sets), pairs).tolist(), places.values(), strict=True):
+        groups.setdefault(r, []).extend(own)
+    gone = {x for g in groups.values() for x in g if x != min(g)}
+    want = {r.doc_id: "\n".join(x for p, x in enumerate(r.text.split("\n")) if (r.doc_id, p) not in gone) for r in rows}
+    assert {r.doc_id: r.text for r in kept} == {d: t for d, t in want.items() if t.strip() or not any(x[0] == d for x in gone)}
+
+    rows, kept = stages["near_duplicates"]
+    v = np.array([plain_fingerprint(r.text, 5) for r in rows], np.uint64)
+    i, j = np.nonzero(np.bitwise_count(v[:, None] ^ v[None, :]) <= 3)
+    first = {}
+    for root, r in zip(clusters(len(v), list(zip(i.tolist(), j.tolist(), strict=True))).tolist(), rows, strict=True):
+        first[root] = min(first.get(root, r.doc_id), r.doc_id)
+    assert sorted(r.doc_id for r in kept) == sorted(first.values())
+
+    rows, kept = stages["decontamination"]
+    flat = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    grams = {tuple(w[i : i + 4]) for w in map(flat, items) for i in range(len(w) - 3)}
+    for r in rows:
+        w = flat(r.text)
+        if any(f" {' '.join(flat(t))} " in f" {' '.join(w)} " for t in items):
+            assert r.doc_id not in {x.doc_id for x in kept}
+        elif grams.isdisjoint(tuple(w[i : i + 4]) for i in range(len(w) - 3)):
+            assert r.doc_id in {x.doc_id for x in kept}
+
+    rows, kept = stages["tokens"]
+    library = tiktoken.Encoding("own", pat_str=default_pattern(), mergeable_ranks=codec(default_path()).ranks, special_tokens={})
+    hashed = {r.doc_id: hashlib.sha256(np.array(library.encode_ordinary(r.text), "<u4").tobytes()).hexdigest() for r in rows}
+    assert {r.doc_id: r.ids_sha256 for r in kept} == hashed
+
+
+def test_pipeline_edges(spark):
+    """Null texts and ids, repeats, very long texts, columns of clashing names; an empty table."""
+    docs = table(spark, "documents").withColumns({c: F.lit(1) for c in ("k", "fp", "root", "log_weight", "_doc", "_key", "_gone", "_rank", "band", "id")})
+    odd = [(None, "no id"), (-1, None), (-2, ""), (-3, "long words of a text " * 60_000), (-4, "twice here"), (-4, "twice here"), (-4, "another text of that id")]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    for name, rows, kept in stage_by_stage(spark, docs.unionByName(more, allowMissingColumns=True), SF):
+        ids = [r.doc_id for r in kept]
+        assert None in ids and len(kept) <= len(rows), name
+        if name != "tokens":
+            assert kept[0].asDict().keys() == rows[0].asDict().keys()
+            assert {r.text for r in kept if r.doc_id == -4} == {"twice here", "another text of that id"}
+    assert all(not kept for _, _, kept in stage_by_stage(spark, docs.limit(0), SF))
+
+
 def test_registered():
     import __spark_entry__
 
