@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.geometry import Box, band, box, centre_inside, dynamic_kernel, odd_kernel, padded, padded_int
-from sitelens.operators.spatial import first_container, of_class, reclassify_heads
+from sitelens.functions.geometry import Box, band, box, dynamic_kernel, odd_kernel, padded, padded_int
+from sitelens.operators.spatial import holds_face, reclassify_heads
 
 TIERS = ["reclassified_person_to_face", "tier1_face", "tier2_face_buffered", "tier3_body_blur", "text_or_logo"]
 
@@ -18,14 +18,11 @@ def blur_plan(dets: DataFrame, width: int, height: int, face_high: float = 0.5,
     without a face get their upper part blurred; texts always. Order: reclassified, faces, bodies, texts.
     """
     w, h = F.lit(width), F.lit(height)
-    marked = reclassify_heads(dets, 0.5, 0.5, 0.40, True, "_was_person")
-    people = of_class(marked, "person")
-    faces = of_class(marked, "face")
-    with_face = first_container(faces, people, centre_inside(box("p_"), box("f_"))).select("image_id", F.col("p_det_ord").alias("det_ord")).distinct()
+    marked = holds_face(reclassify_heads(dets, 0.5, 0.5, 0.40, True, "_was_person"), "_face")
     b = box()
     upper = band(b, 0, top)
     tier = F.when(F.col("_was_person"), TIERS[0]).when((F.col("class_name") == "face") & (F.col("confidence") >= face_high), TIERS[1]).when(F.col("class_name") == "face", TIERS[2]).when(F.col("class_name") == "person", TIERS[3]).when(F.col("class_name") == "text_or_logo", TIERS[4])
-    held = marked.join(with_face.withColumn("_face", F.lit(True)), ["image_id", "det_ord"], "left").withColumn("tier", tier).where(F.col("tier").isNotNull() & ~((F.col("tier") == TIERS[3]) & (F.coalesce("_face", F.lit(False)) | F.lit(not body))))
+    held = marked.withColumn("tier", tier).where(F.col("tier").isNotNull() & ~((F.col("tier") == TIERS[3]) & (F.col("_face") | F.lit(not body))))
     is_body = F.col("tier") == TIERS[3]
     target = Box(b.x1, b.y1, b.x2, F.when(is_body, upper.y2).otherwise(b.y2))
     percent = F.when(F.col("tier") == TIERS[2], padding * 2).when(is_body, float(padding // 2)).otherwise(float(padding))
@@ -39,12 +36,10 @@ def blur_plan(dets: DataFrame, width: int, height: int, face_high: float = 0.5,
 def blur_plan_module(dets: DataFrame, width: int, height: int, face_high: float = 0.5, strength: int = 51, body_strength: int = 31, padding: float = 10, top: float = 0.33, body: bool = True) -> DataFrame:
     """The class module's plan: new faces go to a tier by their confidence, kernels are fixed, rectangles in whole pixels."""
     w, h = F.lit(width), F.lit(height)
-    marked = reclassify_heads(dets, 0.5, 0.5, 0.40, True)
-    people, faces = of_class(marked, "person"), of_class(marked, "face")
-    with_face = first_container(faces, people, centre_inside(box("p_"), box("f_"))).select("image_id", F.col("p_det_ord").alias("det_ord")).distinct().withColumn("_face", F.lit(True))
+    marked = holds_face(reclassify_heads(dets, 0.5, 0.5, 0.40, True), "_face")
     b = box()
-    tier = F.when((F.col("class_name") == "face") & (F.col("confidence") >= face_high), TIERS[1]).when(F.col("class_name") == "face", TIERS[2]).when((F.col("class_name") == "person") & F.col("_face").isNull() & F.lit(body), TIERS[3]).when(F.col("class_name") == "text_or_logo", TIERS[4])
-    held = marked.join(with_face, ["image_id", "det_ord"], "left").withColumn("tier", tier).where("tier is not null")
+    tier = F.when((F.col("class_name") == "face") & (F.col("confidence") >= face_high), TIERS[1]).when(F.col("class_name") == "face", TIERS[2]).when((F.col("class_name") == "person") & ~F.col("_face") & F.lit(body), TIERS[3]).when(F.col("class_name") == "text_or_logo", TIERS[4])
+    held = marked.withColumn("tier", tier).where("tier is not null")
     is_body = F.col("tier") == TIERS[3]
     target = Box(b.x1, b.y1, b.x2, F.when(is_body, band(b, 0, top).y2).otherwise(b.y2))
     percent = F.when(F.col("tier") == TIERS[2], padding * 2).when(is_body, float(padding // 2)).otherwise(float(padding))

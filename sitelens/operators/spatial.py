@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.geometry import Box, box, centre_inside, containment, contains, in_head_region
+from sitelens.functions.geometry import Box, box, box_of, centre_inside, containment, contains, in_head_region
+from sitelens.operators.folds import sorted_rows
 
 
 def of_class(dets: DataFrame, name: str) -> DataFrame:
@@ -28,10 +29,11 @@ def reclassify_heads(dets: DataFrame, size: float = 0.5, part: float = 0.5, head
     ``mark`` names a boolean column of those. Their attributes, if there are any, become visibility=occluded when they are
     tested by the annotation stage's rule (``skip_empty`` false).
     """
-    people = of_class(dets, "person")
-    test = (F.col("s_det_ord") != F.col("l_det_ord")) & in_head_region(box("l_"), box("s_"), size, part, head, skip_empty)
-    small = _named(people, "s_").join(_named(people, "l_"), "image_id").where(test).select("image_id", F.col("s_det_ord").alias("det_ord")).distinct()
-    out = dets.join(small.withColumn("_head", F.lit(True)), ["image_id", "det_ord"], "left").withColumn("_head", F.coalesce("_head", F.lit(False)))
+    rest = [c for c in dets.columns if c != "image_id"]
+    groups = sorted_rows(dets, ["image_id"], [F.col("det_ord")], rest).withColumn("people", F.filter("rows", lambda r: r["class_name"] == "person"))
+    larger = lambda s: F.exists("people", lambda l: (l["det_ord"] != s["det_ord"]) & in_head_region(box_of(l), box_of(s), size, part, head, skip_empty))
+    marked = F.transform("rows", lambda s: F.struct(s.alias("row"), ((s["class_name"] == "person") & larger(s)).alias("_head")))
+    out = groups.select("image_id", F.inline(marked)).select("image_id", "row.*", F.coalesce("_head", F.lit(False)).alias("_head"))
     if "attributes" in dets.columns and not skip_empty:
         out = out.withColumn("attributes", F.when(F.col("_head"), F.create_map(F.lit("visibility"), F.lit("occluded"))).otherwise(F.col("attributes")))
     out = out.withColumns({"class_id": F.when(F.col("_head"), 0).otherwise(F.col("class_id")), "class_name": F.when(F.col("_head"), "face").otherwise(F.col("class_name"))})
@@ -39,6 +41,17 @@ def reclassify_heads(dets: DataFrame, size: float = 0.5, part: float = 0.5, head
     return out.select(*dets.columns, *([mark] if mark else []))
 
 
+def holds_face(dets: DataFrame, name: str) -> DataFrame:
+    """``dets`` with a boolean column: whether the row is the first person (by det_ord) around the centre of some face. One pass over each image's boxes."""
+    rest = [c for c in dets.columns if c != "image_id"]
+    of = lambda n: F.filter("rows", lambda r: r["class_name"] == n)
+    groups = sorted_rows(dets, ["image_id"], [F.col("det_ord")], rest).withColumns({"people": of("person"), "faces": of("face")})
+    first = lambda f: F.get(F.filter("people", lambda p: centre_inside(box_of(p), box_of(f))), F.lit(0))["det_ord"]
+    groups = groups.withColumn("holders", F.array_compact(F.transform("faces", first)))
+    marked = F.transform("rows", lambda r: F.struct(r.alias("row"), ((r["class_name"] == "person") & F.array_contains("holders", r["det_ord"])).alias(name)))
+    return groups.select("image_id", F.inline(marked)).select("image_id", "row.*", name).select(*dets.columns, name)
+
+
 def link_faces_best(dets: DataFrame, least: float = 0.7) -> DataFrame:
     """Each person with ``face_visible``: yes if some face lies in it more than in any other person, by ``least`` or more.
 

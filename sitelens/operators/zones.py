@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from sitelens.constants import DEFAULT_EXCLUSION, EXCLUSION_CLASSES
 from sitelens.functions.geometry import box
+from sitelens.operators.folds import bounded
 from sitelens.schemas import EXCLUSIONS, ZONES
+from sitelens.sources.files import exists
 
 SHORTHAND = r"^(full_width_top|full_width_bottom|left|right)_(?:.*_)?(\d+)$"
 POINTS = "array<struct<x:int,y:int>>"
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """``setup``, ``description``, ``zone_name``, ``polygon`` (variant) of a zone file, one JSON object."""
+    """``setup``, ``description``, ``zone_name``, ``polygon`` (variant) of a zone file, one JSON object. No file: no zones."""
+    if not exists(spark, path):
+        return spark.createDataFrame([("", "", "", "")], "setup string, description string, zone_name string, polygon string").where("false").withColumn("polygon", F.parse_json("polygon"))
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", ZONES).alias("z"))
     setups = raw.select(F.explode("z").alias("setup", "cfg"))
     return setups.select("setup", "cfg.description", F.explode("cfg.zones").alias("zone")).select("setup", "description", F.col("zone.name").alias("zone_name"), F.col("zone.polygon").alias("polygon"))
@@ -90,14 +94,14 @@ def filter_polygon_zones(dets: DataFrame, zones: DataFrame, width: int, height:
     """
     clamp = lambda c, most: F.greatest(F.lit(0), F.least(c.cast("int"), F.lit(most - 1)))
     placed = dets.withColumns({"_px": clamp(box().cx, width), "_py": clamp(box().cy, height)})
-    z = zones.where("points is not null").select(F.col("setup").alias("_setup"), "points")
+    z = bounded(zones.where("points is not null").select(F.col("setup").alias("_setup"), "points"))
     test = (F.col("setup") == F.col("_setup")) & inside_polygon(F.col("points"), F.col("_px"), F.col("_py"))
     return placed.join(z, test, "left_anti").drop("_px", "_py")
 
 
 def read_exclusions(spark: SparkSession, path: str | None) -> DataFrame:
     """``setup``, ``top_pct``, ``right_pct``, ``bottom_pct`` of a file; the defaults where there is none, or it is empty."""
-    if path is not None:
+    if path is not None and exists(spark, path):
         raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", EXCLUSIONS)).alias("setup", "z")).where("z is not null")
         rows = raw.select("setup", *(F.coalesce(f"z.{c}", F.lit(0.0)).alias(c) for c in ("top_pct", "right_pct", "bottom_pct")))
         if not rows.isEmpty():
@@ -107,7 +111,7 @@ def read_exclusions(spark: SparkSession, path: str | None) -> DataFrame:
 
 def filter_exclusion_zones(dets: DataFrame, exclusions: DataFrame, width: int, height: int) -> DataFrame:
     """Faces and texts whose centre lies in the top, bottom or right margin of their setup go. Setups are few: a broadcast join."""
-    z = F.broadcast(exclusions.select(F.col("setup").alias("_setup"), "top_pct", "right_pct", "bottom_pct"))
+    z = bounded(exclusions.select(F.col("setup").alias("_setup"), "top_pct", "right_pct", "bottom_pct"))
     b = box()
     out = (b.cy < height * F.col("top_pct")) | (b.cy > height * (1 - F.col("bottom_pct"))) | (b.cx > width * (1 - F.col("right_pct")))
     test = (F.col("setup") == F.col("_setup")) & F.col("class_name").isin(EXCLUSION_CLASSES) & out

@@ -111,9 +111,7 @@ def anonymise_plan(dets: DataFrame, width: int, height: int, zone_points: DataFr
 
 def evaluate_detections(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """Per class: precision, recall, f1 at overlap .5, ap50, ap50_95."""
-    matches = evaluate.match_predictions(predictions, truth)
-    pr = evaluate.precision_recall(matches, truth)
-    return pr.join(evaluate.mean_average_precision(predictions, truth), "class_id", "left").withColumn("class_name", names.class_name(F.col("class_id")))
+    return evaluate.evaluation(predictions, truth).withColumn("class_name", names.class_name(F.col("class_id")))
 
 
 @dataclass
