@@ -13,6 +13,7 @@ from sitelens.functions import geometry as g
 from sitelens.functions import names
 from sitelens.operators import anonymise, attributes, classify, evaluate, filters, fusion, quality, selection, spatial, split, suppress, tiles, zones
 from sitelens.plans import stages
+from sitelens.schemas import COCO
 from sitelens.sources import formats, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,17 +533,24 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return images(spark, d).withColumn("captured_at", names.captured_at(names.file_name(F.col("path")))).select("image_id", "path", "captured_at", "person_count", "vehicle_count")
 
 
-@query()
+#: Images best first, each with those kept before it: no time within 180 s, no hour over five. Images without a time stay.
+_SELECT_SQL = f"""{IMG_SQL}, sc AS (SELECT image_id, person_count * 10.0::DOUBLE + vehicle_count * 5.0::DOUBLE AS score, person_count, vehicle_count, try_strptime(regexp_extract(replace(path, '.jpg', ''), '[^_]+$'), '%Y%m%d%H%M%S') AS t FROM img),
+li AS (SELECT list([{{'o': image_id, 's': epoch(t), 'h': epoch(t) // 3600}}] ORDER BY score DESC, image_id) AS xs FROM sc WHERE t IS NOT NULL),
+fo AS (SELECT unnest(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: abs(a.s - x[1].s) < 180)) > 0 OR len(list_filter(acc, lambda a: a.h = x[1].h)) >= 5 THEN acc ELSE acc || x END)) AS r FROM li),
+sel AS (SELECT sc.* FROM sc LEFT JOIN fo ON sc.image_id = fo.r.o WHERE t IS NULL OR fo.r.o IS NOT NULL ORDER BY score DESC, image_id LIMIT 2500)"""
+
+
+@query(f"WITH {_SELECT_SQL} SELECT image_id, score, strftime(t, '%Y-%m-%d %H:%M:%S') AS captured_at FROM sel")
 def temporal_diversity(spark: SparkSession, d: str) -> DataFrame:
     return stages.select_images(_scored(spark, d)).select("image_id", "score", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at"))
 
 
-@query()
+@query(f"WITH {_SELECT_SQL} SELECT count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(person_count), 6) AS mean_persons, round(avg(vehicle_count), 6) AS mean_vehicles FROM sel")
 def selection_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(selection.selection_stats(stages.select_images(_scored(spark, d))), "mean_score", "mean_persons", "mean_vehicles")
 
 
-@query()
+@query(f"WITH {IMG_SQL}, p AS (SELECT DISTINCT path FROM img) SELECT path FROM p ORDER BY md5(path || '|42'), path LIMIT 2500")
 def random_baseline(spark: SparkSession, d: str) -> DataFrame:
     return selection.random_baseline(_scored(spark, d).select("path").distinct(), 2500)
 
@@ -601,7 +609,16 @@ def tier_counts(spark: SparkSession, d: str) -> DataFrame:
     return anonymise.tier_counts(anonymise.blur_plan(detections(spark, d), 700, 600))
 
 
-@query()
+def _module_plan_sql() -> str:
+    pad = "greatest(0, CAST(trunc(x1 - (x2 - x1) * p / 100) AS INTEGER)) AS x1, greatest(0, CAST(trunc(y1 - (y2 - y1) * p / 100) AS INTEGER)) AS y1, least(1280, CAST(trunc(x2 + (x2 - x1) * p / 100) AS INTEGER)) AS x2, least(720, CAST(trunc(y2 + (y2 - y1) * p / 100) AS INTEGER)) AS y2"
+    return f"""{DET_SQL}, {_NEW_SQL.format(heads=_heads_sql(0.5, 0.5, 0.40, "true"))},
+wf AS (SELECT DISTINCT image_id, po FROM (SELECT f.image_id, f.det_ord, min(p.det_ord) AS po FROM new f JOIN new p ON f.image_id = p.image_id AND p.class_name = 'person' AND {_CENTRE} WHERE f.class_name = 'face' GROUP BY ALL)),
+t AS (SELECT n.*, CASE WHEN class_name = 'face' AND confidence >= 0.5 THEN 'tier1_face' WHEN class_name = 'face' THEN 'tier2_face_buffered' WHEN class_name = 'person' AND wf.po IS NULL THEN 'tier3_body_blur' WHEN class_name = 'text_or_logo' THEN 'text_or_logo' END AS tier FROM new n LEFT JOIN wf ON n.image_id = wf.image_id AND n.det_ord = wf.po),
+u AS (SELECT image_id, det_ord, tier, x1, y1, x2, CASE WHEN tier = 'tier3_body_blur' THEN y1 + (y2 - y1) * 0.33::DOUBLE ELSE y2 END AS y2, CASE tier WHEN 'tier2_face_buffered' THEN 20 WHEN 'tier3_body_blur' THEN 5 ELSE 10 END AS p FROM t WHERE tier IS NOT NULL),
+plan AS (SELECT image_id, tier, det_ord, {pad}, CASE WHEN tier = 'tier3_body_blur' THEN 31 ELSE 51 END AS kernel FROM u)"""
+
+
+@query(f"WITH {_module_plan_sql()} SELECT image_id, tier, det_ord, x1, y1, x2, y2, kernel FROM plan")
 def blur_plan_module(spark: SparkSession, d: str) -> DataFrame:
     return stages.Anonymizer().plan(detections(spark, d), WIDTH, HEIGHT)
 
@@ -650,7 +667,18 @@ def privacy_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.privacy_score(pr.select(names.class_name(F.col("class_id")).alias("class_name"), "recall")), "privacy_score")
 
 
-@query()
+def _report_sql() -> str:
+    matched = lambda t: f"(WITH {_MATCH_SQL.replace('>= 0.5)', f'>= {t!r}::DOUBLE)')} SELECT {t!r}::DOUBLE AS t, class_id, confidence, tp FROM m)"
+    four = lambda c: f"format('{{:.4f}}', {c})"
+    return f"""WITH {DET_SQL}, mm AS ({" UNION ALL ".join(map(matched, evaluate.THRESHOLDS))}), n AS (SELECT class_id, class_name, count(*) AS n FROM det WHERE model = 'yolo_coco' GROUP BY ALL),
+s AS (SELECT t, class_id, confidence, count(*) FILTER (tp) AS tp, count(*) AS k FROM mm GROUP BY ALL), c AS (SELECT t, s.class_id, confidence, tp / n AS gain, sum(tp) OVER w / sum(k) OVER w AS p FROM s JOIN n USING (class_id) WINDOW w AS (PARTITION BY t, s.class_id ORDER BY confidence DESC)),
+h AS (SELECT t, class_id, gain, max(p) OVER (PARTITION BY t, class_id ORDER BY confidence DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hull FROM c), ap AS (SELECT t, class_id, sum(hull * gain) AS ap FROM h GROUP BY ALL),
+a AS (SELECT class_id, max(ap) FILTER (t = 0.5) AS ap50, sum(ap) / 10 AS ap95 FROM ap GROUP BY class_id), q AS (SELECT class_id, sum(tp) AS tp, sum(k) AS k FROM s WHERE t = 0.5 GROUP BY class_id),
+r AS (SELECT class_name, tp / k AS p, tp / n AS r, 2 * (tp / k) * (tp / n) / (tp / k + tp / n) AS f, ap50, ap95 FROM q JOIN n USING (class_id) JOIN a USING (class_id))
+SELECT class_name AS class, {four("p")} AS precision, {four("r")} AS recall, {four("f")} AS f1, {four("ap50")} AS map50, {four("ap95")} AS map50_95 FROM r UNION ALL SELECT 'Overall', {four("avg(p)")}, {four("avg(r)")}, '', {four("avg(ap50)")}, {four("avg(ap95)")} FROM r"""
+
+
+@query(_report_sql())
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.evaluation_csv(stages.evaluate_detections(*_sides(spark, d)))
 
@@ -664,21 +692,56 @@ def coco_annotations(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", "image_id", "category_id", *(F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate("xywh")), F.round("area", 6).alias("area"), "source")
 
 
-@query()
+@query(f"""WITH {DET_SQL}, a AS (SELECT row_number() OVER (ORDER BY image_id, det_ord) AS id, image_id, class_id + 1 AS category_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM det),
+n AS (SELECT image_id // 1000 AS part, count(DISTINCT image_id) AS n_images FROM det GROUP BY ALL)
+SELECT image_id // 1000 AS part, n_images, 8 AS n_categories, id, image_id, 'img_' || image_id || '.jpg' AS file_name, category_id, x, y, w, h FROM a JOIN n ON image_id // 1000 = part""")
 def coco_document(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, read back."""
     det = detections(spark, d)
     ims = det.select("image_id").distinct().select("image_id", F.concat(F.lit("img_"), "image_id", F.lit(".jpg")).alias("file_name"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
-    return formats.coco_documents(formats.coco_annotations(det), ims, 1000)
-
-
-@query()
+    docs = formats.coco_documents(formats.coco_annotations(det), ims, 1000).select("part", F.from_json("json", COCO).alias("d"))
+    names_ = F.map_from_arrays(F.col("d.images.id"), F.col("d.images.file_name"))
+    rows = docs.select("part", F.size("d.images").cast("long").alias("n_images"), F.size("d.categories").alias("n_categories"), names_.alias("names"), F.explode("d.annotations").alias("a"))
+    return rows.select("part", "n_images", "n_categories", "a.id", "a.image_id", F.element_at("names", F.col("a.image_id")).alias("file_name"), "a.category_id", *(F.get("a.bbox", F.lit(i)).alias(n) for i, n in enumerate("xywh")))
+
+
+def _annotation_sql() -> str:
+    fused = _wbf_sql(f"{area_sql('det')} >= {_MIN_AREA}", 0.35, True, True)
+    head = fused[: fused.index("\nSELECT image_id")].replace("unnest(list_reduce(", "list_reduce(").replace(")) AS r FROM g)", ") AS rs FROM g)")
+    k = ", ".join(f"r.b{i} / r.s AS {c}" for i, c in enumerate(BOX, 1))
+    new = _NEW_SQL.format(heads=_heads_sql(0.4, 0.4, 0.45, "false")).replace("heads AS", "heads2 AS").replace("heads h", "heads2 h").replace("det s", "fu s").replace("det l", "fu l").replace("det.", "fu.").replace("FROM det ", "FROM fu ")
+    across = _fold_sql("new", "image_id", "confidence DESC, CASE WHEN was_person THEN 2 WHEN class_name = 'person' THEN 0 ELSE 1 END, det_ord", f"a.n <> b.n AND NOT {_ALLOWED_SQL} AND {iou_sql('a', 'b')} > 0.5").replace("g AS", "g2 AS").replace("FROM g)", "FROM g2)").replace("f AS", "f2 AS")
+    same = _fold_sql("cl", "image_id, class_id", "confidence DESC, det_ord", iou_sql("a", "b") + " > 0.3").replace("g AS", "g3 AS").replace("FROM g)", "FROM g3)").replace("f AS", "f3 AS")
+    zone = "NOT (image_id % 3 + 1 <= 2 AND class_name IN ('face', 'text_or_logo') AND ((y1 + y2) / 2 < 720 * 0.25::DOUBLE OR (y1 + y2) / 2 > 720 OR (x1 + x2) / 2 > 1280))"
+    return f"""{head}, fx AS (SELECT image_id, class_id, unnest(rs) AS r, generate_subscripts(rs, 1) AS o FROM f),
+fu AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY class_id, o) AS INTEGER) AS det_ord, class_id, r.n AS class_name, {k}, least(r.s / r.k, 1.0) AS confidence, array_to_string(list_sort(list_distinct(r.ms)), '+') AS model, r.k AS num_fused FROM fx),
+{new}, {across}, cl AS (SELECT new.* FROM f2 JOIN new ON f2.image_id = new.image_id AND f2.r.o = new.det_ord), {same}, du AS (SELECT cl.* FROM f3 JOIN cl ON f3.image_id = cl.image_id AND f3.r.o = cl.det_ord)
+SELECT {BOXES_SQL}, model, num_fused FROM du WHERE confidence >= {_MIN_CONF} AND (class_name <> 'person' OR {area_sql("du")} <= 1280 * 720 * 0.15::DOUBLE) AND {_ASPECT} <= {C.MAX_ASPECT_RATIO} AND {zone}"""
+
+
+@query(_annotation_sql())
 def annotation_pipeline(spark: SparkSession, d: str) -> DataFrame:
     det = detections(spark, d)
     setup = F.concat(F.lit("setup_"), (F.col("image_id") % 3 + 1).cast("string"))
     return boxes(stages.annotate(det, WIDTH, HEIGHT, exclusions=zones.read_exclusions(spark, None), setup=setup), "model", "num_fused")
 
 
-@query()
+def _inference_sql() -> str:
+    allowed = """SELECT * EXCLUDE (model), CASE WHEN class_name = 'face' THEN 'weights/face_only.pt' WHEN part % 3 = 0 THEN 'weights/v11_person_supplement.pt' ELSE 'weights/v12_general.pt' END AS model FROM det"""
+    general = ", ".join(map(_quoted, formats.DEFAULT_CONFIG["models"][0]["classes"]))
+    kept = f"(model = 'weights/v12_general.pt' AND confidence >= 0.15 AND class_name IN ({general})) OR (model = 'weights/face_only.pt' AND confidence >= 0.10 AND class_name = 'face') OR (model = 'weights/v11_person_supplement.pt' AND confidence >= 0.20 AND class_name = 'person')"
+    mean = ", ".join(f"list_sum(list_transform(m, lambda q: q.{k} * (q.c / t))) AS {k}" for k in BOX)
+    return f"""WITH {DET_SQL}, al AS ({allowed}), ok AS (SELECT * FROM al WHERE {kept}), g AS (SELECT image_id, class_id, list({_MEMBER} ORDER BY det_ord) AS xs FROM ok GROUP BY ALL),
+f AS (SELECT image_id, class_id, unnest(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda c: {_ANCHOR_IOU} > 0.3)) > 0 THEN list_transform(acc, lambda c, i: CASE WHEN i = list_position(list_transform(acc, lambda c: {_ANCHOR_IOU} > 0.3), true) THEN {{'m': list_concat(c.m, x[1].m)}} ELSE c END) ELSE acc || x END)) AS r FROM g),
+mm AS (SELECT image_id, r.m[1].o AS det_ord, r.m[1].n AS class_name, r.m AS m, list_sum(list_transform(r.m, lambda q: q.c)) AS t FROM f),
+w AS (SELECT image_id, det_ord, class_name, {mean}, list_max(list_transform(m, lambda q: q.c)) AS confidence, CASE WHEN len(m) = 1 THEN m[1].k ELSE 'wbf_fused' END AS model FROM mm),
+h AS (SELECT f.image_id, f.det_ord, min(p.det_ord) AS po FROM w f JOIN w p ON f.image_id = p.image_id AND p.class_name = 'person' AND {_CENTRE} WHERE f.class_name = 'face' GROUP BY ALL),
+j AS (SELECT d.*, p.x1 AS px1, p.y1 AS py1, p.x2 AS px2, p.y2 AS py2, coalesce(d.y2 - d.y1 > (p.y2 - p.y1) * 0.4::DOUBLE, false) AS clips FROM w d LEFT JOIN h ON d.image_id = h.image_id AND d.det_ord = h.det_ord AND d.class_name = 'face' LEFT JOIN w p ON h.image_id = p.image_id AND h.po = p.det_ord),
+k AS (SELECT image_id, det_ord, class_name, confidence, model, CASE WHEN clips THEN greatest(x1, px1) ELSE x1 END AS x1, y1, CASE WHEN clips THEN least(x2, px2) ELSE x2 END AS x2, CASE WHEN clips THEN py1 + (py2 - py1) * 0.3::DOUBLE ELSE y2 END AS y2 FROM j)
+SELECT {BOXES_SQL}, model FROM k WHERE y2 - y1 >= 5"""
+
+
+@query(_inference_sql())
 def inference_pipeline(spark: SparkSession, d: str) -> DataFrame:
     weights = F.when(F.col("class_name") == "face", "weights/face_only.pt").when(F.col("part") % 3 == 0, "weights/v11_person_supplement.pt").otherwise("weights/v12_general.pt")
     return boxes(stages.infer(detections(spark, d).withColumn("model", weights)), "model")
@@ -733,7 +796,20 @@ def pixel_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(kernels.measure(ims), "brightness", "contrast").select("path", "brightness", "contrast")
 
 
-@query()
+def _enrichment_sql() -> str:
+    phrase = f"lower(trim(({PHRASE_WORDS})[part % {len(PHRASE_WORDS)} + 1]))"
+    logo = f"CASE WHEN {' OR '.join(_like(phrase, k) for k in C.LOGO_PHRASES)} THEN 'yes' ELSE 'no' END"
+    kind = _case([(_like(phrase, k), v) for k, v in names.by_length(C.CONTENT_TYPES)], "other")
+    helmet = "CASE WHEN part % 3 = 0 THEN 'yes' ELSE 'no' END"
+    return f"""WITH {DET_SQL}, seen AS (SELECT DISTINCT p.image_id, p.det_ord FROM det p JOIN det f ON f.image_id = p.image_id AND f.class_name = 'face' AND {containment_sql("p", "f")} >= 0.3 WHERE p.class_name = 'person'),
+h AS (SELECT f.image_id, f.det_ord, min(p.det_ord) AS po FROM det f JOIN det p ON f.image_id = p.image_id AND p.class_name = 'person' AND {containment_sql("p", "f")} >= 0.3 WHERE f.class_name = 'face' GROUP BY ALL),
+w AS (SELECT h.image_id, h.det_ord, {helmet} AS worn FROM h JOIN det p ON h.image_id = p.image_id AND h.po = p.det_ord)
+SELECT d.image_id, d.det_ord, class_name, CASE class_name WHEN 'person' THEN '{{"face_visible":"' || (CASE WHEN seen.det_ord IS NULL THEN 'no' ELSE 'yes' END) || '","helmet":"' || ({helmet}) || '"}}'
+WHEN 'face' THEN '{{"has_helmet":"' || coalesce(worn, 'no') || '"}}' WHEN 'text_or_logo' THEN '{{"content_type":"' || ({kind}) || '","is_logo":"' || ({logo}) || '","is_text":"yes"}}' ELSE '{{}}' END AS attributes
+FROM det d LEFT JOIN seen ON d.image_id = seen.image_id AND d.det_ord = seen.det_ord LEFT JOIN w ON d.image_id = w.image_id AND d.det_ord = w.det_ord"""
+
+
+@query(_enrichment_sql())
 def enrichment(spark: SparkSession, d: str) -> DataFrame:
     det = detections(spark, d)
     phrase = F.when(F.col("class_name") == "text_or_logo", F.get(F.array(*map(F.lit, PHRASE_WORDS)), (F.col("part") % len(PHRASE_WORDS)).cast("int"))).otherwise("")
