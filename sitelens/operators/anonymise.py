@@ -47,6 +47,11 @@ def blur_plan_module(dets: DataFrame, width: int, height: int, face_high: float
     return held.select("image_id", "tier", "det_ord", *padded_int(target, w, h, percent).columns(), kernel.alias("kernel"))
 
 
+def drawn(dets: DataFrame, plan: DataFrame) -> DataFrame:
+    """The detections that review overlays show: those that were blurred."""
+    return dets.join(plan.select("image_id", "det_ord").distinct(), ["image_id", "det_ord"], "left_semi")
+
+
 def tier_counts(plan: DataFrame) -> DataFrame:
     """``tier``, ``n``, with the sum as ``total``."""
     return plan.rollup("tier").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("tier", F.lit("total")).alias("tier"), "n")

@@ -13,6 +13,21 @@ def with_defaults(attributes: Column, keys: list[str], value: str = "unspecified
     return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(have, k)), have)
 
 
+def unknown(key: str) -> Column:
+    """Whether an attribute is missing or ``unspecified``."""
+    return F.coalesce(F.col("attributes")[key], F.lit("unspecified")) == "unspecified"
+
+
+def needs_reading(dets: DataFrame, least: float = 0.35) -> DataFrame:
+    """Texts that OCR looks at: sure enough, and not known to be text or not."""
+    return dets.where((F.col("class_name") == "text_or_logo") & (F.col("confidence") >= least) & unknown("is_text"))
+
+
+def needs_label(dets: DataFrame, class_name: str, key: str) -> DataFrame:
+    """Detections of a class that a classifier looks at: those whose attribute isn't known."""
+    return dets.where((F.col("class_name") == class_name) & unknown(key))
+
+
 def attribute_values(dets: DataFrame) -> DataFrame:
     """``class_name``, ``key``, ``value``, ``n``: every key a class ever has, over all its detections; a missing key is ``MISSING``."""
     have = dets.select("class_name", F.explode("attributes").alias("key", "value")).groupBy("class_name", "key", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -16,39 +16,96 @@ COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
 
 
 class Detector(Protocol):
-    name: str
+    """A model that finds boxes. ``prompts`` are the words of open vocabularies, none for models of fixed classes."""
 
-    def detect(self, images: pd.DataFrame) -> list[list[dict]]:
+    def detect(self, images: pd.DataFrame, confidence: float, prompts: list[str]) -> list[list[dict]]:
         """For each row of image_id, height, width, n_channels, data: boxes with class_id, class_name, x1 ... y2, confidence, perhaps phrase."""
 
 
-_loaded: dict[str, Detector] = {}
+class Encoder(Protocol):
+    def embed(self, images: pd.DataFrame) -> list[list[float]]:
+        """A vector for each row."""
 
 
-def _call(name: str, load: Callable[[], Detector], confidence: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _loaded.get(name)
-        if model is None:
-            model = _loaded[name] = load()
-        for batch in batches:
-            rows = []
-            for i in range(len(batch)):
-                one = batch.iloc[i : i + 1]
-                image_id = one["image_id"].iloc[0]
+class Reader(Protocol):
+    def read(self, images: pd.DataFrame) -> list[list[tuple[str, float]]]:
+        """(text, score) of what is written in each row's image."""
+
+
+_loaded: dict[str, object] = {}
+
+
+def _model(name: str, load: Callable[[], object]):
+    """The worker's one copy of a model."""
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def _results(batch: pd.DataFrame, call: Callable[[pd.DataFrame], list], size: int) -> Iterator[tuple[int, object, str | None]]:
+    """(row, result, error) of every row: the model gets ``size`` rows a call, and each row by itself only where a call fails."""
+    for lo in range(0, len(batch), size):
+        part = batch.iloc[lo : lo + size]
+        try:
+            out = call(part)
+            if len(out) != len(part):
+                raise ValueError(f"{len(out)} results for {len(part)} images")
+            yield from ((lo + i, x, None) for i, x in enumerate(out))
+        except Exception:
+            for i in range(lo, lo + len(part)):
                 try:  # a failing image is a row that says so, not a lost task
-                    found = [d for d in model.detect(one)[0] if d["confidence"] >= confidence]
-                    rows += [{**d, "image_id": image_id, "det_ord": k + 1, "model": name, "phrase": d.get("phrase"), "error": None} for k, d in enumerate(found)]
+                    yield i, call(batch.iloc[i : i + 1])[0], None
                 except Exception as e:
-                    rows.append({"image_id": image_id, "error": f"{type(e).__name__}: {e}", "model": name})
-            frame = pd.DataFrame(rows, columns=COLUMNS)
-            yield frame.astype({"det_ord": "Int32", "class_id": "Int32"})
+                    yield i, None, f"{type(e).__name__}: {e}"
+
 
-    return run
+PIXELS = ["height", "width", "n_channels", "data"]
 
 
-def run_detector(images: DataFrame, name: str, load: Callable[[], Detector], confidence: float) -> DataFrame:
-    """Detections of one model. ``load`` runs once a worker; confidence is handed to the model instead of filtered after it."""
-    return images.select("image_id", "height", "width", "n_channels", "data").mapInPandas(_call(name, load, confidence), FOUND)
+def run_detector(images: DataFrame, name: str, load: Callable[[], Detector], confidence: float, prompts: list[str] | None = None, batch: int = 64) -> DataFrame:
+    """Detections of one model. ``load`` runs once a worker; confidence and prompts are handed to the model, which gets ``batch`` images a call."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _model(name, load)
+        for images in batches:
+            rows = []
+            ids = images["image_id"].tolist()
+            for i, found, error in _results(images, lambda part: model.detect(part, confidence, prompts or []), batch):
+                if error:
+                    rows.append({"image_id": ids[i], "error": error, "model": name})
+                else:
+                    kept = [d for d in found if d["confidence"] >= confidence]
+                    rows += [{**d, "image_id": ids[i], "det_ord": k + 1, "model": name, "phrase": d.get("phrase"), "error": None} for k, d in enumerate(kept)]
+            yield pd.DataFrame(rows, columns=COLUMNS).astype({"det_ord": "Int32", "class_id": "Int32"})
+
+    return images.select("image_id", *PIXELS).mapInPandas(run, FOUND)
+
+
+def run_encoder(images: DataFrame, name: str, load: Callable[[], Encoder], keys: list[str], batch: int = 64) -> DataFrame:
+    """``keys``, ``embedding`` (null where it failed) and ``error`` of each image."""
+    kinds = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _model(name, load)
+        for part in batches:
+            out = list(_results(part, model.embed, batch))
+            yield part[keys].reset_index(drop=True).assign(embedding=[x for _, x, _ in out], error=[e for *_, e in out])
+
+    return images.select(*keys, *PIXELS).mapInPandas(run, f"{kinds}, embedding array<double>, error string")
+
+
+def run_reader(images: DataFrame, name: str, load: Callable[[], Reader], keys: list[str], batch: int = 64) -> DataFrame:
+    """``keys``, ``text``, ``score``, ``error``: a row for each text read; a row without a text where there is none or it failed."""
+    kinds = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _model(name, load)
+        for part in batches:
+            rows = [(i, text, score, error) for i, found, error in _results(part, model.read, batch) for text, score in (found or [(None, None)])]
+            frame = pd.DataFrame(rows, columns=["row", "text", "score", "error"])
+            yield pd.concat([part[keys].reset_index(drop=True).iloc[frame["row"]].reset_index(drop=True), frame.drop(columns="row")], axis=1)
+
+    return images.select(*keys, *PIXELS).mapInPandas(run, f"{kinds}, text string, score double, error string")
 
 
 def table_detector(images: DataFrame, detections: DataFrame, confidence: float, classes: list[str] | None = None) -> DataFrame:

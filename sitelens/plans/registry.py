@@ -816,3 +816,7 @@ def enrichment(spark: SparkSession, d: str) -> DataFrame:
     helmet = F.when(F.col("class_name") == "person", F.create_map(F.lit("helmet"), F.when(F.col("part") % 3 == 0, "yes").otherwise("no"))).otherwise(F.create_map().cast("map<string,string>"))
     out = stages.enrich(det.withColumn("phrase", phrase).withColumn("attributes", helmet))
     return out.select("image_id", "det_ord", "class_name", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes")))).alias("attributes"))
+
+
+# those of files and complete stages join in
+from sitelens.plans import more_queries  # noqa: E402, F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 from sitelens import constants as C
 from sitelens.functions import kernels, names
 from sitelens.functions.geometry import band, box, crop
-from sitelens.operators import anonymise, attributes, evaluate, filters, fusion, quality, selection, spatial, split, suppress, zones
+from sitelens.operators import anonymise, attributes, classify, detectors, evaluate, filters, fusion, quality, selection, spatial, split, suppress, tiles, zones
+from sitelens.operators.folds import bounded
 from sitelens.sources import formats, images, reports
+from sitelens.sources.files import checkpointed
 
 
 def prefilter(spark: SparkSession, folder: str, profile: str = "strict", max_images: int | None = None, crops: DataFrame | None = None) -> DataFrame:
@@ -83,6 +87,64 @@ def enrich(dets: DataFrame) -> DataFrame:
     return out.withColumn("attributes", attrs).select(*dets.columns)
 
 
+KEYS = ["image_id", "det_ord"]
+#: Attributes that a classifier gives, by class, and the least crop it looks at (width, height).
+CLASSIFIED = {"person": ["posture"], "vehicle": ["vehicle_type", "ownership"], "text_or_logo": ["content_type"], "face": ["visibility"]}
+DEFAULTS = {"person": ["face_visible", "helmet", "safety_vest", "posture"], "vehicle": ["vehicle_type", "ownership"], "text_or_logo": ["is_logo", "is_text", "content_type"], "face": ["visibility", "has_helmet"]}
+
+
+def _with(attributes_: Column, **values: Column) -> Column:
+    """Attributes with values set where they aren't null."""
+    new = F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+    return F.map_concat(F.map_filter(attributes_, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
+def enrich_all(dets: DataFrame, width: int, height: int, labels: DataFrame, gear: DataFrame, readings: DataFrame, verdicts: DataFrame, found_faces: DataFrame, seen_faces: DataFrame, found_plates: DataFrame) -> DataFrame:
+    """Everything that follows fusion, in the annotation's order; each model's answers are a table by ``image_id`` and ``det_ord``.
+
+    Verification (``verdicts``: ``label``), phrases, visible faces and helmets; protective gear (``gear``: ``name`` of what was
+    found in a person's crop); classified attributes (``labels``: ``key``, ``label``) where they aren't known; OCR
+    (``readings``: ``score``, ``error``) for sure texts not known to be text; what follows for logos; faces and plates for
+    those without one; defaults for what is missing.
+    """
+    out = enrich(classify.verify_gate(dets, verdicts))
+    flags = classify.ppe_flags(gear, KEYS)
+    asked = labels.groupBy(*KEYS).agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("key", "label")))).alias("_labels"))
+    guarded = attributes.needs_reading(out).select(*KEYS)
+    read = classify.ocr_verdict(readings.join(guarded, KEYS, "left_semi"), KEYS).withColumnRenamed("is_text", "_text")
+    out = out.join(flags.select(*KEYS, F.col("helmet").alias("_helmet"), F.col("vest").alias("_vest")), KEYS, "left").join(asked, KEYS, "left").join(read, KEYS, "left")
+    person, text = F.col("class_name") == "person", F.col("class_name") == "text_or_logo"
+    out = out.withColumn("attributes", F.when(person, _with(F.col("attributes"), helmet=F.col("_helmet"), safety_vest=F.col("_vest"))).otherwise(F.col("attributes")))
+    for name, keys in CLASSIFIED.items():
+        for key in keys:
+            label = F.when((F.col("class_name") == name) & attributes.unknown(key), F.col("_labels")[key])
+            out = out.withColumn("attributes", _with(F.col("attributes"), **{key: label}))
+    out = out.withColumn("attributes", _with(F.col("attributes"), is_text=F.when(text & F.col("_text"), "yes").when(text & ~F.col("_text"), "no")))
+    kind, logo = F.col("attributes")["content_type"], F.coalesce(F.col("attributes")["is_logo"], F.lit("unspecified"))
+    logo = F.when(kind == "company_name", "yes").when((F.col("attributes")["is_text"] == "yes") & (logo == "unspecified"), "no")
+    out = out.withColumn("attributes", _with(F.col("attributes"), is_logo=F.when(text, logo))).select(*dets.columns)
+
+    bare = spatial.of_class(out, "person").where(F.col("attributes")["face_visible"] == "no")
+    faces = rescue_faces(bare, found_faces, seen_faces, width, height).select("image_id", F.lit(1).alias("_kind"), F.col("person_ord").alias("_of"), "class_id", "class_name", "x1", "y1", "x2", "y2", "confidence", "model", F.create_map(F.lit("visibility"), F.col("visibility")).alias("attributes"))
+    plates = rescue_plates(out, spatial.of_class(out, "text_or_logo"), found_plates, width, height)
+    plates = plates.select("image_id", F.lit(2).alias("_kind"), F.col("vehicle_ord").alias("_of"), "class_id", "class_name", "x1", "y1", "x2", "y2", "confidence", "model", F.create_map(*(x for c in ("content_type", "is_text", "is_logo") for x in (F.lit(c), F.col(c)))).alias("attributes"))
+    # rescued ones come after an image's own, faces first
+    last = out.groupBy("image_id").agg(F.max("det_ord").alias("_last"))
+    place = F.expr("row_number() over (partition by image_id order by _kind, _of)")
+    more = faces.unionByName(plates).withColumn("_n", place).join(last, "image_id").withColumn("det_ord", (F.col("_last") + F.col("_n")).cast("int")).drop("_kind", "_of", "_n", "_last")
+    out = out.unionByName(more, allowMissingColumns=True)
+    filled = F.col("attributes")
+    for name, keys in DEFAULTS.items():
+        filled = F.when(F.col("class_name") == name, attributes.with_defaults(F.col("attributes"), keys)).otherwise(filled)
+    return out.withColumn("attributes", filled)
+
+
+def annotate_images(dets: DataFrame, width: int, height: int, exclusions: DataFrame | None = None, setup: Column | None = None, tiles_of: DataFrame | None = None, **answers: DataFrame) -> DataFrame:
+    """The whole annotation: detections of the image and of its tiles (``tiles_of``: detections with ``tx1`` ... ``ty2``, ``tile_ord``), ``annotate``, ``enrich_all``."""
+    every = detectors.ensemble(dets, tiles.to_image(tiles_of)) if tiles_of is not None else dets
+    return enrich_all(annotate(every, width, height, exclusions=exclusions, setup=setup), width, height, **answers)
+
+
 def infer(dets: DataFrame, config: dict | None = None) -> DataFrame:
     """Multi-model inference after the models: allowed classes and confidences by model, fusion or dedup, clipped faces.
 
@@ -114,6 +176,36 @@ def evaluate_detections(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return evaluate.evaluation(predictions, truth).withColumn("class_name", names.class_name(F.col("class_id")))
 
 
+def anonymise_images(pixels: DataFrame, dets: DataFrame, width: int, height: int, zone_points: DataFrame | None = None, method: str = "gaussian", review: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Images with zones and detections blurred and the time written on them (``path``, ``content``, ``review``), and the counts by tier.
+
+    ``pixels``: ``path``, ``height``, ``width``, ``n_channels``, ``data``; ``dets``: with ``path``, the image's number
+    ``image_id``; ``zone_points``: ``setup``, ``points``. Detections inside of zones aren't blurred once more.
+    """
+    setup = names.setup_of(names.file_name(F.col("path")))
+    plan = anonymise_plan(dets.withColumn("setup", setup), width, height, zone_points, **options)
+    named = plan.join(dets.select("image_id", "path").distinct(), "image_id")
+    own = pixels.select("path").withColumn("setup", setup)
+    masks = own.join(bounded(zone_points), "setup").select("path", "points") if zone_points is not None else None
+    labels = own.select("path", names.time_label(F.col("path")).alias("label"))
+    return kernels.render(pixels, named, masks, labels, method, review), anonymise.tier_counts(plan)
+
+
+def run_stages(stages: list[tuple[str, Callable[[], object]]]) -> list[tuple[str, float, str | None]]:
+    """Name, seconds and error of each stage, one after the other; the first that fails is the last that runs."""
+    done = []
+    for name, stage in stages:
+        began, error = time.monotonic(), None
+        try:
+            stage()
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+        done.append((name, time.monotonic() - began, error))
+        if error:
+            break
+    return done
+
+
 @dataclass
 class ImagePrefilter:
     input_dir: str
@@ -129,7 +221,7 @@ class ImagePrefilter:
         gated = quality.quality_gate(metrics, thresholds=(self.min_brightness, self.max_brightness, self.min_contrast, self.min_sharpness, self.min_edge_density))
         gated.write.mode("overwrite").parquet(f"{self.output_dir}/_metrics")
         gated = spark.read.parquet(f"{self.output_dir}/_metrics")
-        reports.write_prefilter(gated, self.output_dir)
+        reports.write_prefilter(gated, self.output_dir, (self.min_brightness, self.max_brightness, self.min_contrast, self.min_sharpness, self.min_edge_density))
         return quality.rejection_counts(gated)
 
 
@@ -144,6 +236,14 @@ class IntelligentImageSelector:
     def run(self, scored: DataFrame) -> DataFrame:
         return select_images(scored, self.num_samples, self.min_gap_minutes, self.max_per_hour, self.person_weight, self.vehicle_weight)
 
+    def select_from(self, images_: DataFrame, dets: DataFrame, target_dir: str) -> DataFrame:
+        """Scores readable images (``image_id``, ``path``) by their detections, selects, copies and reports under ``target_dir``."""
+        counted = selection.score_images(images_, dets).withColumn("captured_at", names.captured_at(names.file_name(F.col("path"))))
+        scored = selection.relevance_score(counted.drop("data"), self.person_weight, self.vehicle_weight)
+        selected = checkpointed(selection.temporal_diversity(scored, self.num_samples, self.min_gap_minutes, self.max_per_hour))
+        reports.write_selection(scored, selected, selection.random_baseline(scored.select("path"), self.num_samples), target_dir, reports.now())
+        return selected
+
 
 @dataclass
 class MultiModelAnnotator:
@@ -171,9 +271,22 @@ class Anonymizer:
     def plan(self, dets: DataFrame, width: int, height: int) -> DataFrame:
         return anonymise.blur_plan_module(dets, width, height, self.face_high_thresh, self.blur_strength, self.body_blur_strength, self.padding_percent, self.body_blur_top_pct, self.body_anonymize)
 
+    def render(self, pixels: DataFrame, dets: DataFrame, width: int, height: int) -> DataFrame:
+        """``path``, ``content`` of the images with their plan carried out by ``blur_method``; ``options`` go to the renderer (``zones``, ``labels``, ``review``)."""
+        plan = self.plan(dets, width, height).withColumn("seq", F.col("det_ord")).join(dets.select("image_id", "path").distinct(), "image_id")
+        return kernels.render(pixels, plan, method=self.blur_method, **self.options)
+
 
 def prepare_training_split(labels: DataFrame, image_files: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
     return split.train_val_split(split.match_labels(labels, image_files), val_ratio, seed)
 
 
-__all__ = ["Anonymizer", "ImagePrefilter", "IntelligentImageSelector", "MultiModelAnnotator", "annotate", "anonymise_plan", "enrich", "evaluate_detections", "infer", "prefilter", "prepare_training_split", "rescue_faces", "rescue_plates", "select_images"]
+def prepare_training(labels_dir: str, images_dir: str, output_dir: str, spark: SparkSession, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """Labels and images matched by stem, split, copied as a training set; gives class counts by split."""
+    pictures = formats.list_files(spark, images_dir).select(names.stem(F.col("path")).alias("stem"), F.col("path").alias("image_path")).where(names.is_image(F.col("image_path"), C.ANNOTATED_EXTENSIONS, False))
+    divided = checkpointed(prepare_training_split(formats.find_label_files(spark, labels_dir), pictures, val_ratio, seed))
+    formats.write_training_tree(divided, output_dir)
+    return split.split_class_counts(divided, formats.read_yolo(spark, labels_dir), C.CLASS_NAMES)
+
+
+__all__ = ["Anonymizer", "ImagePrefilter", "IntelligentImageSelector", "MultiModelAnnotator", "annotate", "annotate_images", "anonymise_images", "anonymise_plan", "enrich", "enrich_all", "evaluate_detections", "infer", "prefilter", "prepare_training", "prepare_training_split", "rescue_faces", "rescue_plates", "run_stages", "select_images"]

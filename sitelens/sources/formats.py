@@ -18,17 +18,7 @@ from sitelens.constants import CLASS_NAMES
 from sitelens.functions.geometry import Box, box, from_coco, normalised, yolo_line
 from sitelens.functions.names import stem
 from sitelens.schemas import COCO, TAXONOMY
-
-
-def write_bytes(uri: str, data: bytes) -> None:
-    """To any file system that pyarrow knows, under a temporary name first."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(f"{path}.tmp") as out:
-        out.write(data)
-    store.move(f"{path}.tmp", path)
+from sitelens.sources.files import copy_files, exists, list_files, read_text, there, write_bytes
 
 
 # --- YOLO -----------------------------------------------------------------------------------------------------------
@@ -51,6 +41,12 @@ def yolo_files(lines: DataFrame, images: DataFrame | None = None, newline: bool
     return images.select("stem").distinct().join(files, "stem", "left").select("stem", F.coalesce("content", F.lit("")).alias("content"))
 
 
+def labels_by_glob(spark: SparkSession, folder: str) -> DataFrame:
+    """``stem``, ``label_path`` of the label files in one folder, by path."""
+    inside = ~F.substring_index("path", folder.rstrip("/") + "/", -1).contains("/")
+    return list_files(spark, folder, ".txt").where(inside).select(stem(F.col("path")).alias("stem"), F.col("path").alias("label_path")).orderBy("label_path")
+
+
 def read_yolo(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """``stem``, ``line_ord``, ``class_id``, ``cx``, ``cy``, ``w``, ``h`` of label files; blank lines are left out."""
     files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
@@ -59,18 +55,6 @@ def read_yolo(spark: SparkSession, folder: str, recursive: bool = True) -> DataF
     return lines.select("stem", "line_ord", F.get(p, F.lit(0)).try_cast("int").alias("class_id"), *(F.get(p, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"))))
 
 
-def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """``path``, ``length`` of files by the file system's own listing: Spark's scans leave empty files out, and an empty label file is a picture without objects."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
-    rows = []
-    while found.hasNext():
-        f = found.next()
-        if (path := f.getPath().toString()).endswith(suffix):
-            rows.append((path, f.getLen()))
-    return spark.createDataFrame(rows, "path string, length long")
-
-
 def find_label_files(spark: SparkSession, folder: str) -> DataFrame:
     """``stem``, ``label_path``, ``empty``: of label files with one stem the last by path."""
     files = list_files(spark, folder, ".txt").groupBy(stem(F.col("path")).alias("stem")).agg(F.max(F.struct("path", "length")).alias("f"))
@@ -224,9 +208,66 @@ DEFAULT_CONFIG = {
 
 
 def load_config(path: str | None) -> dict:
-    """Defaults with a YAML file's top-level blocks in place of theirs."""
-    own = {}
-    if path:
-        with open(path) as f:
-            own = yaml.safe_load(f) or {}
-    return DEFAULT_CONFIG | own
+    """Defaults with a YAML file's top-level blocks in place of theirs; without the file the defaults."""
+    return DEFAULT_CONFIG | (yaml.safe_load(read_text(path)) or {} if there(path) else {})
+
+
+def write_default_config(path: str) -> None:
+    write_bytes(path, yaml.safe_dump(DEFAULT_CONFIG, default_flow_style=False, sort_keys=False).encode())
+
+
+# --- training sets ------------------------------------------------------------------------------------------------------
+
+
+def write_training_tree(split: DataFrame, folder: str) -> DataFrame:
+    """Images and labels copied under ``images/<split>`` and ``labels/<split>``, and ``dataset.yaml``; gives ``target``, ``bytes``.
+
+    ``split``: ``stem``, ``image_path``, ``label_path``, ``split``. Copies take the place of symbolic links, which stores don't have.
+    """
+    at = lambda kind, ext: F.concat(F.lit(f"{folder}/{kind}/"), "split", F.lit("/"), "stem", ext)
+    pairs = F.array(F.struct(F.col("image_path").alias("source"), at("images", F.regexp_extract("image_path", r"\.[^./]*$", 0)).alias("target")), F.struct(F.col("label_path").alias("source"), at("labels", F.lit(".txt")).alias("target")))
+    done = copy_files(split.select(F.inline(pairs)))
+    write_bytes(f"{folder}/dataset.yaml", dataset_yaml(folder).encode())
+    return done
+
+
+def read_dataset(spark: SparkSession, path: str, part: str = "val") -> tuple[DataFrame, DataFrame, dict[int, str]]:
+    """Images (``stem``, ``image_path``), label boxes (``stem``, ``line_ord``, ``class_id``, ``cx`` ...) and class names of a part of a training set, by its ``dataset.yaml``."""
+    cfg = yaml.safe_load(read_text(path))
+    root = str(cfg.get("path") or path.rpartition("/")[0]).rstrip("/")
+    images = f"{root}/{cfg[part]}"
+    listed = list_files(spark, images).select(stem(F.col("path")).alias("stem"), F.col("path").alias("image_path"))
+    names = cfg["names"]
+    return listed, read_yolo(spark, images.replace("/images/", "/labels/")), dict(enumerate(names)) if isinstance(names, list) else {int(k): v for k, v in names.items()}
+
+
+def best_weights(spark: SparkSession, candidates: list[str]) -> str | None:
+    """The first of the candidate paths that exists."""
+    return next((p for p in candidates if exists(spark, p)), None)
+
+
+# --- what annotation leaves ---------------------------------------------------------------------------------------------
+
+
+def annotation_stats(dets: DataFrame, images: DataFrame, models: list[str], timestamp: str) -> DataFrame:
+    """One JSON object: images, detections, detections by class, models, time."""
+    counts = dets.groupBy("class_name").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_detections"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("class_name", "n")))).alias("detections_per_class"))
+    total = images.agg(F.count(F.lit(1)).alias("total_images"))
+    return total.crossJoin(counts).select(F.to_json(F.struct("total_images", "total_detections", "detections_per_class", F.array(*map(F.lit, models)).alias("models_used"), F.lit(timestamp).alias("timestamp"))).alias("value"))
+
+
+def write_annotations(dets: DataFrame, images: DataFrame, taxonomy: DataFrame, folder: str, models: list[str], timestamp: str, images_per_document: int = 50_000) -> None:
+    """COCO documents, their import archives, YOLO labels with ``classes.txt``, the label editor's list and the counts.
+
+    ``images``: ``image_id``, ``file_name``, ``width``, ``height``. A document holds so many consecutive image ids at most.
+    """
+    documents = coco_documents(coco_annotations(dets), images, images_per_document).select(F.format_string("annotations_%05d", "part").alias("stem"), F.col("json").alias("content"))
+    write_files(documents, f"{folder}/annotations", ".json")
+    zipped = F.udf(import_zip, "binary")  # one call a document
+    write_files(documents.withColumn("content", zipped("content")), f"{folder}/annotations", ".zip")
+    named = images.withColumn("stem", stem(F.col("file_name")))
+    lines = yolo_lines(dets.join(named.select("image_id", "stem", "width", "height"), "image_id"), F.col("width"), F.col("height"))
+    write_files(yolo_files(lines, named), f"{folder}/yolo_labels")
+    write_bytes(f"{folder}/yolo_labels/classes.txt", "\n".join(CLASS_NAMES).encode())
+    for name, table in (("labels", label_editor(taxonomy)), ("annotation_stats", annotation_stats(dets, images, models, timestamp))):
+        write_bytes(f"{folder}/{name}.json", table.first()[0].encode())
