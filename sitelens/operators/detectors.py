@@ -76,7 +76,7 @@ def run_detector(images: DataFrame, name: str, load: Callable[[], Detector], con
                 else:
                     kept = [d for d in found if d["confidence"] >= confidence]
                     rows += [{**d, "image_id": ids[i], "det_ord": k + 1, "model": name, "phrase": d.get("phrase"), "error": None} for k, d in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"det_ord": "Int32", "class_id": "Int32"})
+            yield pd.DataFrame(rows, columns=COLUMNS).astype({"det_ord": "Int32", "class_id": "Int32", "class_name": object, "model": object, "phrase": object, "error": object})
 
     return images.select("image_id", *PIXELS).mapInPandas(run, FOUND)
 
@@ -102,7 +102,7 @@ def run_reader(images: DataFrame, name: str, load: Callable[[], Reader], keys: l
         model = _model(name, load)
         for part in batches:
             rows = [(i, text, score, error) for i, found, error in _results(part, model.read, batch) for text, score in (found or [(None, None)])]
-            frame = pd.DataFrame(rows, columns=["row", "text", "score", "error"])
+            frame = pd.DataFrame(rows, columns=["row", "text", "score", "error"]).astype({"text": object, "error": object, "score": float})
             yield pd.concat([part[keys].reset_index(drop=True).iloc[frame["row"]].reset_index(drop=True), frame.drop(columns="row")], axis=1)
 
     return images.select(*keys, *PIXELS).mapInPandas(run, f"{kinds}, text string, score double, error string")
