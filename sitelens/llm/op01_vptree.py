@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import stored
 
 LEAF = 128
+#: Trees of no more vectors are searched exactly: they are a few leaves, of which pruning saves little.
+EXACT = 8 * LEAF
 #: So many queries of a cell measure the recall in a shard, and this is what their mean must reach.
 PROBES, RECALL = 128, 0.92
 #: Factors that are tried, as parts of the way from one to the given one.
@@ -131,6 +133,8 @@ class Tree:
         wide = min(k, len(self.x))
         if factor <= 1 or not wide or not len(queries):
             return factor
+        if len(self.x) <= EXACT:
+            return 1.0
         some = queries[np.unique(np.linspace(0, len(queries) - 1, PROBES).astype(int))]
         least = np.partition(some @ self.x.T, -wide, axis=1)[:, -wide, None]
         hair = 1e-12 * np.sqrt(self.norm * np.einsum("ij,ij->i", some, some))[:, None]

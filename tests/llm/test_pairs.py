@@ -64,6 +64,22 @@ def test_search_is_exact_at_factor_one(spark):
     assert nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op1_vptree", "op9_warc"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_queries_against_sql(spark, name, sf):
+    import duckdb
+
+    from sitelens.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
+    result = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in result.description]
+    got = QUERIES[name](spark, f"/root/testdata/{sf}").select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, result.fetchall()))
+
+
 def test_recall_with_pruning():
     x = RNG.normal(size=(4000, 64)) + 2 * RNG.normal(size=(20, 64))[RNG.integers(0, 20, 4000)]
     q = x[:100]
