@@ -10,7 +10,7 @@ import xxhash
 from sitelens.llm.components import connected_components
 from sitelens.llm.op01_vptree import Tree, nearest
 from sitelens.llm.op04_cdc import GEAR, PLAN, cuts, gear, remove_spans, repeated_documents, repeated_spans
-from sitelens.llm.op08_simhash import Sets, _bucket_links, fingerprint, keep_one, position_sets, simhash_groups
+from sitelens.llm.op08_simhash import Sets, _bucket_links, fingerprint, keep_one, position_sets, simhash_groups, wide_links_of, wide_sets
 from sitelens.llm.op10_lines import dedup_lines, line_report
 
 SF = "/root/testdata/sf0.001"
@@ -163,8 +163,6 @@ def test_simhash_groups(spark, docs):
             low[r] = min(low.get(r, s.doc_id), s.doc_id)
     want = sorted(((s.doc_id, f"{f:016x}", low.get(r)) for s, f, r in zip(source, v.tolist(), root.tolist(), strict=True)), key=repr)
     assert sorted((tuple(r) for r in rows), key=repr) == want
-    kept = keep_one(all_, 3).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(low.values()))
     assert simhash_groups(all_.limit(0)).count() == 0
 
 
@@ -177,6 +175,47 @@ def test_one_of_each_group_stays(spark, docs):
     assert keep_one(table.limit(0)).count() == 0
 
 
+def word_sets(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def test_similar_texts_keep_one(spark):
+    """Copies with a part of their words changed: found by similarity, against pairs of shingle sets; unrelated texts stay."""
+    rng = np.random.default_rng(12)
+    words = np.array(["".join(map(chr, rng.integers(97, 113, rng.integers(2, 9)))) for _ in range(3000)])
+    rows, pairs = [], []
+    for i in range(250):
+        own = rng.choice(words, rng.integers(80, 600))
+        rows.append((2 * i, " ".join(own)))
+        other = own.copy()
+        at = rng.choice(len(own), max(1, int(len(own) * (0.004, 0.01, 0.02, 0.06, 0.2)[i % 5])), replace=False)
+        other[at] = "changed"
+        rows.append((2 * i + 1, " ".join(other)))
+        a, b = word_sets(rows[-2][1]), word_sets(rows[-1][1])
+        pairs.append((2 * i + 1, len(a & b) / len(a | b)))
+    big = rng.choice(words, 300)  # a family larger than a block of a list
+    rows += [(1000 + i, " ".join([*big[: 3 * i % 290], f"own{i}", *big[3 * i % 290 + 1 :]])) for i in range(600)]
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(250)} <= kept
+    close = [d for d, j in pairs if j >= 0.85]
+    assert len(close) > 80 and np.mean([d in kept for d in close]) <= 0.05
+    assert not [d for d, j in pairs if j < 0.7 and d not in kept]
+    assert {d for d in kept if d >= 1000} == {1000}
+
+
+def test_wide_lists_link_as_all_pairs():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, (12, 8)).astype(np.uint64)
+    prints = np.concatenate([base[rng.integers(0, 12, 700)] ^ (np.uint64(1) << rng.integers(0, 64, (700, 8)).astype(np.uint64)) * (rng.random((700, 8)) < 0.9) for _ in range(2)]).astype(np.uint64)
+    i, j = wide_links_of(prints, block=64)
+    x = np.bitwise_count(prints[:, None] ^ prints[None, :]).sum(2)
+    every = np.nonzero(x <= 78)
+    assert (clusters(len(prints), list(zip(i.tolist(), j.tolist(), strict=True))) == clusters(len(prints), list(zip(every[0].tolist(), every[1].tolist(), strict=True)))).all()
+    sets = wide_sets()
+    assert len(sets) == 128 and max(len(set(a) & set(b)) for k, a in enumerate(sets.tolist()) for b in sets.tolist()[:k]) == 1
+
+
 def test_dense_lists_link_as_others():
     base = 0x1234567890ABCDEF
     f = np.unique(np.array([base ^ int(z) for z in RNG.integers(0, 1 << 22, 1500)], np.uint64))
