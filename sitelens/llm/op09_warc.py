@@ -196,7 +196,7 @@ def shard_starts(sizes: DataFrame, shard_bytes: int, bits: int = 16) -> list[int
     return starts
 
 
-def write_warc(pages: DataFrame, root: str, roll_bytes: int = 256 << 20, least_revisit: int = 100, shard_bytes: int = 64 << 20) -> DataFrame:
+def write_warc(pages: DataFrame, root: str, roll_bytes: int = 256 << 20, least_revisit: int = 100, shard_bytes: int = 16 << 20) -> DataFrame:
     """Writes ``pages`` (``page_id``, ``url``, ``html``) as archives under ``root``; returns the manifest.
 
     A null html is an empty payload; a null url is kept apart from an empty one. Of equal payloads of at least
