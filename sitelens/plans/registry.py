@@ -534,8 +534,11 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Images best first, each with those kept before it: no time within 180 s, no hour over five. Images without a time stay.
+#: Pieces of the timeline between which both a gap and the hour's end lie don't touch one another, so each is a short list.
 _SELECT_SQL = f"""{IMG_SQL}, sc AS (SELECT image_id, person_count * 10.0::DOUBLE + vehicle_count * 5.0::DOUBLE AS score, person_count, vehicle_count, try_strptime(regexp_extract(replace(path, '.jpg', ''), '[^_]+$'), '%Y%m%d%H%M%S') AS t FROM img),
-li AS (SELECT list([{{'o': image_id, 's': epoch(t), 'h': epoch(t) // 3600}}] ORDER BY score DESC, image_id) AS xs FROM sc WHERE t IS NOT NULL),
+ev AS (SELECT image_id, score, epoch(t) AS s, CAST(epoch(t) AS BIGINT) // 3600 AS h FROM sc WHERE t IS NOT NULL), la AS (SELECT *, lag(s) OVER w AS ls, lag(h) OVER w AS lh FROM ev WINDOW w AS (ORDER BY s, image_id)),
+pc AS (SELECT *, sum(CASE WHEN s - ls >= 180 AND h <> lh THEN 1 ELSE 0 END) OVER (ORDER BY s, image_id ROWS UNBOUNDED PRECEDING) AS piece FROM la),
+li AS (SELECT piece, list([{{'o': image_id, 's': s, 'h': h}}] ORDER BY score DESC, image_id) AS xs FROM pc GROUP BY piece),
 fo AS (SELECT unnest(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: abs(a.s - x[1].s) < 180)) > 0 OR len(list_filter(acc, lambda a: a.h = x[1].h)) >= 5 THEN acc ELSE acc || x END)) AS r FROM li),
 sel AS (SELECT sc.* FROM sc LEFT JOIN fo ON sc.image_id = fo.r.o WHERE t IS NULL OR fo.r.o IS NOT NULL ORDER BY score DESC, image_id LIMIT 2500)"""
 
