@@ -107,22 +107,20 @@ def enrich_all(dets: DataFrame, width: int, height: int, labels: DataFrame, gear
     (``readings``: ``score``, ``error``) for sure texts not known to be text; what follows for logos; faces and plates for
     those without one; defaults for what is missing.
     """
-    out = enrich(classify.verify_gate(dets, verdicts))
+    # written, for what follows reads it more than once
+    out = checkpointed(enrich(classify.verify_gate(dets, verdicts)))
     flags = classify.ppe_flags(gear, KEYS)
     asked = labels.groupBy(*KEYS).agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("key", "label")))).alias("_labels"))
     guarded = attributes.needs_reading(out).select(*KEYS)
     read = classify.ocr_verdict(readings.join(guarded, KEYS, "left_semi"), KEYS).withColumnRenamed("is_text", "_text")
     out = out.join(flags.select(*KEYS, F.col("helmet").alias("_helmet"), F.col("vest").alias("_vest")), KEYS, "left").join(asked, KEYS, "left").join(read, KEYS, "left")
     person, text = F.col("class_name") == "person", F.col("class_name") == "text_or_logo"
-    out = out.withColumn("attributes", F.when(person, _with(F.col("attributes"), helmet=F.col("_helmet"), safety_vest=F.col("_vest"))).otherwise(F.col("attributes")))
-    for name, keys in CLASSIFIED.items():
-        for key in keys:
-            label = F.when((F.col("class_name") == name) & attributes.unknown(key), F.col("_labels")[key])
-            out = out.withColumn("attributes", _with(F.col("attributes"), **{key: label}))
-    out = out.withColumn("attributes", _with(F.col("attributes"), is_text=F.when(text & F.col("_text"), "yes").when(text & ~F.col("_text"), "no")))
+    said = {"helmet": F.when(person, F.col("_helmet")), "safety_vest": F.when(person, F.col("_vest")), "is_text": F.when(text & F.col("_text"), "yes").when(text & ~F.col("_text"), "no")}
+    said |= {key: F.when((F.col("class_name") == name) & attributes.unknown(key), F.col("_labels")[key]) for name, keys in CLASSIFIED.items() for key in keys}
+    out = out.withColumn("attributes", _with(F.col("attributes"), **said)).select(*dets.columns)
     kind, logo = F.col("attributes")["content_type"], F.coalesce(F.col("attributes")["is_logo"], F.lit("unspecified"))
-    logo = F.when(kind == "company_name", "yes").when((F.col("attributes")["is_text"] == "yes") & (logo == "unspecified"), "no")
-    out = out.withColumn("attributes", _with(F.col("attributes"), is_logo=F.when(text, logo))).select(*dets.columns)
+    logo = F.when(text & (kind == "company_name"), "yes").when(text & (F.col("attributes")["is_text"] == "yes") & (logo == "unspecified"), "no")
+    out = checkpointed(checkpointed(out).withColumn("attributes", _with(F.col("attributes"), is_logo=logo)))
 
     bare = spatial.of_class(out, "person").where(F.col("attributes")["face_visible"] == "no")
     faces = rescue_faces(bare, found_faces, seen_faces, width, height).select("image_id", F.lit(1).alias("_kind"), F.col("person_ord").alias("_of"), "class_id", "class_name", "x1", "y1", "x2", "y2", "confidence", "model", F.create_map(F.lit("visibility"), F.col("visibility")).alias("attributes"))
