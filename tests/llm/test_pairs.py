@@ -269,6 +269,18 @@ def test_passages_of_two_texts_under_one_id(spark):
     assert len(out) == 1 and out[0][0] == 2 and out[0][1] < 250
 
 
+def test_very_long_texts_repeat(spark):
+    """Two megabytes with a passage in the middle that another text begins with, and a text of one repeated sign."""
+    rng = np.random.default_rng(21)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(3, 9)))) for _ in range(5000)]
+    own = [words[k] for k in rng.integers(0, 5000, 300_000)]
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(own[150_000:150_060]) + " and an end of its own"), (3, "z" * 500_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in repeated_documents(repeated_spans(docs)).collect()}
+    assert set(rows) == {1, 2, 3} and rows[2].removed_bytes > 200 and rows[1].repeated_bytes < 1000 and rows[3].removed_bytes > 490_000
+    kept = keep_one(docs)
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 3}
+
+
 def test_chunks_against_brute_force(spark, docs):
     """Spans, first occurrences and removals as a plain count of chunks gives them, on documents of one text an id."""
     texts = {r.doc_id: r.text.encode() for r in docs.dropDuplicates(["doc_id"]).collect()}
