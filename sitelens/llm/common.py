@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +40,35 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stored`` of what ``build`` makes; the tables that were stored on the way are removed."""
+    _written.append([])
+    try:
+        df = build()
+        path = new_path(df.sparkSession, name)
+        df.write.parquet(path)
+    finally:
+        paths = _written.pop()
+    for old in paths:
+        remove(df.sparkSession, old)
+    if _written:
+        _written[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores after them as far as ``df`` has columns of these names."""
     held = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import stored, unused
+from sitelens.llm.common import settled, stored, unused
 from sitelens.llm.wordhash import mix, span_hashes, text_parts, word_spans
 
 INSIDE = np.array([48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128 for c in range(256)])
@@ -255,7 +255,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_words: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_words: int = 4, share: float = 0.5, broadcast_windows: int = 1_000_000) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows without a doc_id stay, as do rows of the same id with a clean text."""
     doc, key = unused(docs, "_doc", "_key")
-    bad = _leaks(docs, benchmark, width, least_words, share, broadcast_windows).select(F.col("doc_id").alias(doc), F.col("k").alias(key)).distinct()
-    bad, _ = stored(bad, "leaks")
+    bad = settled(lambda: _leaks(docs, benchmark, width, least_words, share, broadcast_windows).select(F.col("doc_id").alias(doc), F.col("k").alias(key)).distinct(), "leaks")
     same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
     return docs.join(bad, same, "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import stored, unused
+from sitelens.llm.common import settled, stored, unused
 from sitelens.llm.components import connected_components
 from sitelens.llm.wordhash import mix
 
@@ -323,14 +323,18 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     k = F.xxhash64(F.col("text").cast("string"))
     prints = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), k.alias("k"), F.col("text").cast("string").alias("text"))
     prints, _ = stored(prints.mapInArrow(_wide(width), "doc_id long, k long, fp binary"), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "k")).alias("least"))
-    nodes, _ = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
-    links, _ = stored(wide_links(nodes).distinct(), "simhash-links")
-    roots, _ = stored(connected_components(links), "roots")
-    rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
-    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     doc, key = unused(docs, "_doc", "_key")
-    kept, _ = stored(first.select(F.col("first.doc_id").alias(doc), F.col("first.k").alias(key)), "simhash-kept")
+
+    def firsts() -> DataFrame:
+        nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "k")).alias("least"))
+        nodes, _ = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
+        links, _ = stored(wide_links(nodes).distinct(), "simhash-links")
+        roots, _ = stored(connected_components(links), "roots")
+        rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
+        first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+        return first.select(F.col("first.doc_id").alias(doc), F.col("first.k").alias(key))
+
+    kept = settled(firsts, "simhash-kept")
     same = (F.col("doc_id").cast("long") == F.col(doc)) & (k == F.col(key))
     out = docs.join(kept, same, "left_semi")
     # of rows that repeat an id and a text one stays: such documents are few, and only they are sorted out
