@@ -1,7 +1,8 @@
 """Importance resampling: the ratio of two hashed n-gram models, sampled by Gumbel top-k.
 
 Two models over hashed words and pairs of words are counted: of target text (labelled as of good quality and not toxic) and
-of the raw corpus. A bucket's log ratio is smoothed towards zero by ``prior`` target occurrences. ``log_ratio`` is the ratio of
+of the raw corpus, each in buckets of its own. A bucket's log ratio is smoothed towards zero by the ``priors`` target
+occurrences of its order: pairs are rare, and tell something only where they are many. ``log_ratio`` is the ratio of
 the models for the whole text, the sum over its n-grams. What is sampled by, ``log_weight``, is the ratio for its least
 likely run of ``window`` words, so that a short toxic passage isn't outweighed by the length of the rest (with no window it
 is ``log_ratio``). To the log weight comes Gumbel noise, fixed by doc_id, and the documents with the k largest sums are the
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import stored, unused
 from sitelens.llm.wordhash import mix, span_hashes, text_parts, word_spans
 
-BITS = 22
+BITS = 21
+#: Target occurrences by which words and pairs are smoothed.
+PRIORS = (1.0, 32.0)
 CHUNK = 1 << 12
 #: Log ratios are kept as whole numbers of this part, so that sums don't depend on their order.
 UNIT = 1 << 20
@@ -30,7 +33,10 @@ INSIDE = np.array([c > 32 for c in range(256)])
 
 
 def buckets(data: np.ndarray, bounds: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the hashed word n-grams up to ``order`` in place of each word, and the first of each row."""
+    """Buckets of the hashed word n-grams up to ``order`` in place of each word, and the first of each row.
+
+    A bucket's remainder by ``order`` tells the length of its n-grams, less one; a row's first words stand for those they lack.
+    """
     starts, ends, first = word_spans(data, bounds, INSIDE)
     h = span_hashes(data, starts, ends)
     if order > 1 and len(h):
@@ -45,7 +51,11 @@ def buckets(data: np.ndarray, bounds: np.ndarray, order: int, bits: int) -> tupl
             grams.append(joined)
         h = np.stack(grams, 1).ravel()
         first = first * order
-    return (h >> np.uint64(64 - bits)).astype(np.int64), first
+    own = (h >> np.uint64(64 - bits)).astype(np.int64)
+    if order > 1:
+        own += np.arange(len(own)) % order - own % order
+        own -= np.where(own >= 1 << bits, order, 0)
+    return own, first
 
 
 def _count(order: int, bits: int):
@@ -102,17 +112,23 @@ class Model:
         return out, least if window else out
 
 
-def fit(docs: DataFrame, sample: DataFrame, order: int = 2, bits: int = BITS, window: int | None = 32, prior: float = 4.0) -> Model:
-    """Counts both models over all of ``docs``; the driver gets 2^bits numbers of four bytes, however large the corpus."""
+def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS, window: int | None = 16, priors: tuple[float, ...] = PRIORS) -> Model:
+    """Counts both models over all of ``docs``; the driver gets 2^bits numbers of four bytes, however large the corpus.
+
+    As many orders of n-grams as ``priors``: with one, single words.
+    """
+    order = len(priors)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.where("fit and good").select("doc_id", F.lit(True).alias("target"))), "doc_id", "left")
     counts = marked.select("text", "target").mapInArrow(_count(order, bits), "bucket int, raw long, target long")
     counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counts, _ = stored(counts, "ngrams")
-    n_raw, n_target = (int(x or 0) for x in counts.agg(F.sum("raw"), F.sum("target")).first())
     ratios = np.zeros(1 << bits, np.int32)
-    if n_target:
-        share = n_target / n_raw
-        unit = F.round(F.log((F.col("target") + prior) / (F.col("raw") * share + prior)) * UNIT).cast("int")
+    totals = {r.o: (r.raw, r.target) for r in counts.groupBy((F.col("bucket") % order).alias("o")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()}
+    if any(target for _, target in totals.values()):
+        unit = F.lit(0)
+        for o, (raw, target) in totals.items():
+            log = F.log((F.col("target") + priors[o]) / (F.col("raw") * (target / raw) + priors[o]))
+            unit = F.when(F.col("bucket") % order == o, F.round(log * UNIT).cast("int")).otherwise(unit)
         packed = counts.select((F.shiftright("bucket", 12)).alias("chunk"), F.struct(F.col("bucket").bitwiseAND(F.lit(CHUNK - 1)).alias("at"), unit.alias("ratio")).alias("x"))
         for row in packed.groupBy("chunk").agg(F.collect_list("x.at").alias("at"), F.collect_list("x.ratio").alias("ratio")).toLocalIterator():
             ratios[row.chunk * CHUNK + np.array(row.at)] = row.ratio

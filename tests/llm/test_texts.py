@@ -49,23 +49,23 @@ def test_top_k_and_edges(spark):
 def test_models_and_sample_against_brute_force(spark):
     """Counts, ratios, weights of texts and windows in plain Python; the sample is the k rows of largest key."""
     rng = random.Random(6)
-    words = [f"w{i}" for i in range(60)] + ["vile", "foul"]
-    texts = [" ".join(rng.choice(words[60:] if i % 3 == 0 and rng.random() < 0.3 else words[:60]) for _ in range(rng.choice((1, 5, 40, 90)))) for i in range(300)] + ["", None, "word " * 50_000]
+    words = [f"w{i}" for i in range(20)] + ["vile", "foul"]  # few, so that no two pairs share a bucket
+    texts = [" ".join(rng.choice(words[20:] if i % 3 == 0 and rng.random() < 0.3 else words[:20]) for _ in range(rng.choice((1, 5, 40, 90)))) for i in range(300)] + ["", None, "word " * 50_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as _rank", "2 as _weights")
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
-    prior, window = 4.0, 32
+    priors, window = (1.0, 32.0), 16
     target = {r.doc_id for r in resampling.label_sample(labels, 1000, 7).where("fit and good").collect()}
     grams = []
     for t in texts:
         w = (t or "").split()
-        grams.append([g for i in range(len(w)) for g in ((w[i],), (w[i - 1], w[i]) if i else (w[i],))])
+        grams.append([g for i in range(len(w)) for g in ((0, w[i]), (1, w[i - 1], w[i]) if i else (1, w[i]))])
     raw, good = {}, {}
     for i, own in enumerate(grams):
         for g in own:
             raw[g] = raw.get(g, 0) + 1
             good[g] = good.get(g, 0) + (i in target)
-    share = sum(good.values()) / sum(raw.values())
-    ratio = {g: np.log((good[g] + prior) / (raw[g] * share + prior)) for g in raw}
+    share = [sum(n for g, n in good.items() if g[0] == o) / sum(n for g, n in raw.items() if g[0] == o) for o in (0, 1)]
+    ratio = {g: np.log((good[g] + priors[g[0]]) / (raw[g] * share[g[0]] + priors[g[0]])) for g in raw}
     every = {r.doc_id: r for r in resampling.weighed(docs, labels)[0].collect()}
     for i, own in enumerate(grams):
         v = [ratio[g] for g in own]
@@ -180,7 +180,7 @@ def test_pairs_of_words_tell_their_order(spark):
         words = [w for k in rng.integers(0, 40, 40) for w in (f"left{k}", f"right{k}")]
         docs.append((d, " ".join(words if d % 2 else rng.permutation(words).tolist())))
     labels = spark.createDataFrame([(d, d % 2, 0) for d in range(600)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in resampling.resample(spark.createDataFrame(docs, "doc_id long, text string"), labels, order=2).collect()}
+    kept = {r.doc_id for r in resampling.resample(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()}
     assert len([d for d in kept if d % 2]) >= 285 and len([d for d in kept if not d % 2]) <= 15
 
 
