@@ -64,7 +64,8 @@ def _curves(matches: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     down = Window.partitionBy(*keys).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
     curve = steps.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)}).join(F.broadcast(t), "class_id", "left")
     curve = curve.withColumns({"precision": F.col("ctp") / F.col("cn"), "gain": F.col("tp") / F.col("n_truth")})
-    right = Window.partitionBy(*keys).orderBy(F.desc("confidence")).rowsBetween(0, Window.unboundedFollowing)
+    # from the lowest confidence on: a frame that grows is summed up as it goes, one that shrinks would be made anew for each row
+    right = Window.partitionBy(*keys).orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0)
     curve = curve.withColumn("hull", F.max("precision").over(right))
     return curve.groupBy(*keys, "n_truth").agg(F.sum(F.col("hull") * F.col("gain")).alias("ap"), F.sum("tp").alias("tp"), F.sum(F.col("n") - F.col("tp")).alias("fp"))
 
