@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import settled, stored, unused
+from sitelens.llm.common import remove, settled, stored, unused
 from sitelens.llm.components import connected_components
 
 LONG, SHORT, SKETCH = 12, 5, 10
@@ -106,8 +106,9 @@ def _near(bands: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(_alike()).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` that are similar; ``texts`` has ``id``, ``line`` and ``w``, the hashes of its windows."""
+def _verified(pairs: DataFrame, texts: tuple[DataFrame, str], similarity: float) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` that are similar; ``texts``, a table and its path, has ``id``, ``line`` and ``w``, the hashes of its windows. It is removed."""
+    texts, path = texts
 
     def of(table: DataFrame, side: str) -> DataFrame:
         return table.select(*(F.col(c).alias(side if c == "id" else c + side) for c in table.columns))
@@ -121,6 +122,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     # a line's shingles are made once, however many lines it is compared with
     sets = texts.join(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", shingles(F.col("line"), F.hash).alias("s"))
     sets, _ = stored(sets, "line-sets")
+    remove(sets.sparkSession, path)
     both = likely.join(of(sets, "a"), "a").join(of(sets, "b"), "b")
     na, nb, n = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
     least = F.lit(similarity)
@@ -167,23 +169,21 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.select("x.*").dropDuplicates(["id"]).withColumn("w", made)
 
 
-def fuzzy_links(docs: DataFrame, distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links ``a``, ``b`` between ids of ``distinct`` lines (``id``, ``n``, ``at``, ``sw``, ``ss``) that join the similar ones."""
-    shared, _ = stored(_bands(distinct), "bands")
-    ids, _ = stored(shared.select("id").distinct().join(distinct.select("id", "n", "at", "sw", "ss"), "id"), "line-candidates")
+def fuzzy_links(docs: DataFrame, shared: DataFrame, ids: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links ``a``, ``b`` that join the similar ones of the lines ``ids`` (``id``, ``n``, ``at``, ``sw``, ``ss``) of the bands ``shared``."""
     near, _ = stored(_near(shared.select("band", "id"), ids), "line-near")
     of = lambda pairs: ids.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    links = settled(lambda: _verified(near, stored(_texts(docs, of(near)), "line-texts")[0], similarity), "line-links")
+    links = settled(lambda: _verified(near, stored(_texts(docs, of(near)), "line-texts"), similarity), "line-links")
 
     # what is left: bands with lines of different components
     left, _ = stored(_mixed(_rooted(shared, links), "band").join(ids.select("id", "sw", "ss"), "id"), "line-left")
     small = left.where(F.col("size") <= SMALL_BAND)
     pairs, _ = stored(_pairs(small).distinct(), "line-pairs")
     crowd, _ = stored(left.where(F.col("size") > SMALL_BAND).select("id", "root", "sw", "ss").dropDuplicates(["id"]), "line-crowd")
-    texts, _ = stored(_texts(docs, ids.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd.select("id")).distinct(), "id")), "line-texts")
+    texts, path = stored(_texts(docs, ids.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd.select("id")).distinct(), "id")), "line-texts")
     a, b = (crowd.select(*(F.col(c).alias(c + x if c != "id" else x) for c in ("id", "root", "sw", "ss"))) for x in "ab")
     crowded = _crowded(texts.join(crowd.select("id"), "id")).join(a, "a").join(b, "b").where("roota != rootb").where(_alike()).select("a", "b")
-    return links.union(settled(lambda: _verified(pairs.union(crowded).distinct(), texts, similarity), "line-links"))
+    return links.union(settled(lambda: _verified(pairs.union(crowded).distinct(), (texts, path), similarity), "line-links"))
 
 
 def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -191,12 +191,16 @@ def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     made = signature(F.col("line"))
     signed = lines_of(docs).select("h1", "h2", F.struct("doc_id", "k", "pos").alias("at"), *(c.alias(n) for n, c in made.items()))
     distinct = signed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), *(F.first(n).alias(n) for n in made))
-    distinct, _ = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    links, _ = stored(fuzzy_links(docs, distinct, similarity).distinct(), "line-edges")
+    distinct, path = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
+    shared, _ = stored(_bands(distinct), "bands")
+    ids, _ = stored(shared.select("id").distinct().join(distinct, "id"), "line-candidates")
+    # lines that only repeat, whose first place is known; of the others nothing is read again
+    alone, _ = stored(distinct.where("n > 1").join(ids, "id", "left_anti").select("h1", "h2", F.col("at").alias("first")), "line-repeated")
+    remove(docs.sparkSession, path)
+    links = settled(lambda: fuzzy_links(docs, shared, ids.select("id", "n", "at", "sw", "ss"), similarity).distinct(), "line-edges")
     roots, _ = stored(connected_components(links).withColumnRenamed("node", "id"), "line-roots")
-    # lines of several members: first those that only repeat, whose first place is known
-    repeated = distinct.join(roots, "id", "left_anti").where("n > 1").select("h1", "h2", F.col("at").alias("first"))
-    members = distinct.select("id", "h1", "h2", "at").join(roots, "id")
+    repeated = alone.union(ids.where("n > 1").join(roots, "id", "left_anti").select("h1", "h2", F.col("at").alias("first")))
+    members = ids.select("id", "h1", "h2", "at").join(roots, "id")
     first = members.groupBy("root").agg(F.min("at").alias("first"))
     return repeated.unionByName(members.join(stored(first, "line-first")[0], "root").select("h1", "h2", "first"))
 

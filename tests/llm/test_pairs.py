@@ -2,11 +2,14 @@
 
 import itertools
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
+from sitelens.llm.common import settled, stored
 from sitelens.llm.components import connected_components
 from sitelens.llm.op01_vptree import Tree, nearest
 from sitelens.llm.op04_cdc import GEAR, PLAN, cuts, gear, remove_spans, repeated_documents, repeated_spans
@@ -402,6 +405,19 @@ def test_lines_without_spaces(spark):
         assert sum(r.n_removed for r in line_report(docs).collect()) == similar
 
 
+def test_shuffles_go_once_their_table_is_written(spark):
+    """Else the shuffle files of the many tables of op10 add up on disk until the driver happens to collect its garbage."""
+    held = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, numbers = held(), spark.range(100_000)
+    made, _ = stored(numbers.groupBy((numbers.id % 5_000).alias("k")).count().orderBy("k"), "shuffled")
+    settled(lambda: made.groupBy((made.k % 7).alias("m")).count(), "shuffled")
+    for _ in range(50):  # executors remove them after the write returns
+        if not (left := held() - before):
+            break
+        time.sleep(0.2)
+    assert not left and made.count() == 5_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_lines_edges(spark):
     odd = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "x\ny", 3), (3, "a b c\n\na b c\nq", 4), (3, "a b c\n\na b c\nq", 4), (4, "q", 5), (5, "x" * 60_000, 6)], "doc_id long, text string, h1 int")
     rows = {(r.doc_id, r.n_lines, r.n_removed, r.removed) for r in line_report(odd).collect()}
