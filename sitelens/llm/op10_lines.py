@@ -106,6 +106,15 @@ def _near(bands: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(_alike()).select("a", "b")
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose ``sets`` (``id``, ``s``) have that Jaccard similarity."""
+    a, b = (sets.select(F.col("id").alias(x), F.col("s").alias("s" + x)) for x in "ab")
+    na, nb, n = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    least = F.lit(similarity)
+    both = pairs.join(a, "a").join(b, "b").where(F.least(na, nb) >= F.greatest(na, nb) * least - F.lit(1e-9))
+    return both.withColumn("n", n).where(F.col("n") >= (na + nb - F.col("n")) * least - F.lit(1e-9)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: tuple[DataFrame, str], similarity: float) -> DataFrame:
     """Those of the pairs ``a``, ``b`` that are similar; ``texts``, a table and its path, has ``id``, ``line`` and ``w``, the hashes of its windows. It is removed."""
     texts, path = texts
@@ -123,10 +132,7 @@ def _verified(pairs: DataFrame, texts: tuple[DataFrame, str], similarity: float)
     sets = texts.join(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", shingles(F.col("line"), F.hash).alias("s"))
     sets, _ = stored(sets, "line-sets")
     remove(sets.sparkSession, path)
-    both = likely.join(of(sets, "a"), "a").join(of(sets, "b"), "b")
-    na, nb, n = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
-    least = F.lit(similarity)
-    return both.where(F.least(na, nb) >= F.greatest(na, nb) * least - F.lit(1e-9)).withColumn("n", n).where(F.col("n") >= (na + nb - F.col("n")) * least - F.lit(1e-9)).select("a", "b")
+    return _similar(likely, sets, similarity)
 
 
 def _rooted(lines: DataFrame, edges: DataFrame) -> DataFrame:
@@ -143,18 +149,58 @@ def _mixed(placed: DataFrame, key: str) -> DataFrame:
 
 #: Of windows that many lines of large bands share, so many of the rarest lead a line to another one.
 LEADS = 3
+#: Shingles are counted in so many buckets, to tell rare ones from frequent ones.
+BUCKETS = 1 << 16
 
 
-def _crowded(texts: DataFrame) -> DataFrame:
-    """``a``, ``b`` of the lines of large bands (``id``, ``w``) that share a window of few of them, or the first line of a rare one."""
+def _leads(texts: DataFrame) -> DataFrame:
+    """``a``, ``b``: the lines of large bands (``id``, ``w``), each with the first line of its rarest windows. They join most of a large family; ``_crowded`` compares what they leave."""
     tokens, _ = stored(texts.select("id", F.explode("w").alias("token")), "line-windows")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.min("id").alias("first")).where("often > 1")
-    held, _ = stored(tokens.join(counts, "token"), "line-common")
-    few = held.where(F.col("often") <= SMALL_BAND).select("token", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "token").where("a < b").select("a", "b")
     place = F.row_number().over(Window.partitionBy("id").orderBy("often", "token"))
-    leads = held.where(F.col("often") > SMALL_BAND).withColumn("place", place).where((F.col("place") <= LEADS) & (F.col("id") != F.col("first")))
-    return pairs.union(leads.select(F.col("first").alias("a"), F.col("id").alias("b"))).distinct()
+    leads = tokens.join(counts, "token").withColumn("place", place).where((F.col("place") <= LEADS) & (F.col("id") != F.col("first")))
+    return leads.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _ordered(lines: DataFrame, similarity: float) -> DataFrame:
+    """``id``, ``root``, ``n`` (the shingles ``s``), ``p`` and ``i`` of lines: of the shingles, the rarest first, those that a similar line of no more (``p``) or no fewer shingles (the first ``i`` of these) can't all lack."""
+    bucket = lambda x: F.pmod(x, F.lit(BUCKETS))
+    often = lines.select(F.explode("s").alias("x")).groupBy(bucket(F.col("x")).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("often"))
+    level = F.least(F.lit(127.0), F.log2(F.coalesce("often", F.lit(1))) * 6).cast("tinyint").alias("level")
+    levels = lines.sparkSession.range(BUCKETS).join(often, "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", level))), lambda x: x["level"]).alias("levels"))
+    key = lambda x: F.shiftleft(F.get("levels", bucket(x)).cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    n = F.size("s")
+    lacks = lambda share: (n - F.ceil(n * share - F.lit(1e-9)) + 1).cast("int")
+    keys = F.slice(F.sort_array(F.transform("s", key)), F.lit(1), lacks(similarity))
+    return lines.crossJoin(F.broadcast(levels)).select("id", "root", n.alias("n"), keys.alias("p"), lacks(2 * similarity / (1 + similarity)).alias("i"))
+
+
+def _crowded(bands: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: the similar lines of different components (``root``) in the large ``bands`` (``band``, ``id``, ``root``), all of them.
+
+    Two sets of shingles of this similarity share one of the rarest of each (a prefix filter, which loses no pair). Lines of
+    ``texts`` (``id``, ``line``) that share such a shingle meet; where more than a small band's lines have it, those that also
+    share a band. There is no limit to either.
+    """
+    lines, _ = stored(bands.select("id", "root").distinct().join(texts, "id").select("id", "root", shingles(F.col("line"), F.hash).alias("s")), "line-sets")
+    ordered, _ = stored(_ordered(lines, similarity), "line-ordered")
+    rows = ordered.select("id", "root", "n", "i", F.posexplode("p").alias("at", "token")).select("token", "id", "root", "n", (F.col("at") < F.col("i")).alias("indexed"))
+    apart = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "often")
+    held, _ = stored(rows.join(apart, "token"), "line-rare")
+
+    def meet(rows: DataFrame, *keys: str) -> DataFrame:
+        x, y = (rows.select(*keys, "indexed", *(F.col(c).alias(c + v) for c in ("id", "root", "n"))) for v in "xy")
+        both = x.drop("indexed").join(y.where("indexed").drop("indexed"), list(keys)).where("rootx != rooty and (ny < nx or (ny = nx and idy < idx))")
+        return both.where(F.col("ny") >= F.col("nx") * similarity - F.lit(1e-9)).select(F.col("idy").alias("a"), F.col("idx").alias("b"))
+
+    many = held.where(F.col("often") > SMALL_BAND).join(bands.select("band", "id"), "id")
+    pairs, _ = stored(meet(held.where(F.col("often") <= SMALL_BAND), "token").union(meet(many, "token", "band")).distinct(), "line-pairs")
+    # of the rarest shingles of both, a similar pair shares more than one
+    a, b = (ordered.select(F.col("id").alias(v), F.col("n").alias("n" + v), F.col("p").alias("p" + v)) for v in "ab")
+    least = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - F.lit(1e-9))
+    shared = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + least
+    likely = pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("pa", "pb")) >= shared).select("a", "b")
+    return _similar(likely, lines.select("id", "s"), similarity)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -182,8 +228,16 @@ def fuzzy_links(docs: DataFrame, shared: DataFrame, ids: DataFrame, similarity:
     crowd, _ = stored(left.where(F.col("size") > SMALL_BAND).select("id", "root", "sw", "ss").dropDuplicates(["id"]), "line-crowd")
     texts, path = stored(_texts(docs, ids.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd.select("id")).distinct(), "id")), "line-texts")
     a, b = (crowd.select(*(F.col(c).alias(c + x if c != "id" else x) for c in ("id", "root", "sw", "ss"))) for x in "ab")
-    crowded = _crowded(texts.join(crowd.select("id"), "id")).join(a, "a").join(b, "b").where("roota != rootb").where(_alike()).select("a", "b")
-    return links.union(settled(lambda: _verified(pairs.union(crowded).distinct(), (texts, path), similarity), "line-links"))
+    leads = _leads(texts.join(crowd.select("id"), "id")).join(a, "a").join(b, "b").where("roota != rootb").where(_alike()).select("a", "b")
+    of_crowd, _ = stored(texts.join(crowd.select("id"), "id").select("id", "line"), "line-crowd-texts")
+    links = links.union(settled(lambda: _verified(pairs.union(leads).distinct(), (texts, path), similarity), "line-links"))
+
+    # large bands that still have lines of different components: every pair of these that is similar
+    def rest() -> DataFrame:
+        bands, _ = stored(_mixed(_rooted(left.where(F.col("size") > SMALL_BAND).select("band", "id"), links), "band"), "line-open")
+        return _crowded(bands, of_crowd, similarity)
+
+    return links.union(settled(rest, "line-links"))
 
 
 def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -8,13 +8,14 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sitelens.llm.common import settled, stored
 from sitelens.llm.components import connected_components
 from sitelens.llm.op01_vptree import Tree, nearest
 from sitelens.llm.op04_cdc import GEAR, PLAN, cuts, gear, remove_spans, repeated_documents, repeated_spans
 from sitelens.llm.op08_simhash import Sets, _bucket_links, fingerprint, keep_one, position_sets, simhash_groups, wide_links_of, wide_sets
-from sitelens.llm.op10_lines import dedup_lines, line_report
+from sitelens.llm.op10_lines import _crowded, dedup_lines, line_report
 
 SF = "/root/testdata/sf0.001"
 RNG = np.random.default_rng(0)
@@ -384,6 +385,23 @@ def test_lines_of_thousands_on_one_template(spark, shared, own):
     assert len(want) > 100 and not got - want and len(got) >= 0.98 * len(want)
 
 
+def test_lines_of_large_bands_against_all_pairs(spark):
+    """One band of lines in a language of six words, so that every window and shingle is in many lines: all similar pairs are found."""
+    rng = np.random.default_rng(3)
+    words, head = ["baro", "ceti", "dolu", "fima", "gesh", "hank"], " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(8))
+    rows = []
+    for _ in range(400):
+        own = [words[k] for k in rng.integers(0, 6, 16)]
+        rows += [head + " " + " ".join(own), head + " " + " ".join([*own[:-1], words[(words.index(own[-1]) + 1) % 6]])]
+    rows = list(dict.fromkeys(rows))
+    sets = [line_sets(x) for x in rows]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    texts = spark.createDataFrame(list(enumerate(rows)), "id long, line string")
+    bands = texts.select(F.lit(1).cast("long").alias("band"), "id", F.col("id").alias("root"))
+    got = [tuple(sorted(r)) for r in _crowded(bands, texts, 0.8).collect()]
+    assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_lines_of_two_texts_under_one_id(spark):
     a, b = "alpha line of the first text\nbeta line that is here once\nalpha line of the first text", "gamma line of the second\ndelta 4711 unlike others\nunique epsilon sentence five"
     docs = spark.createDataFrame([(3, a), (3, b), (4, "zeta words alone"), (4, a)], "doc_id long, text string")
