@@ -151,6 +151,8 @@ def _mixed(placed: DataFrame, key: str) -> DataFrame:
 LEADS = 3
 #: Shingles are counted in so many buckets, to tell rare ones from frequent ones.
 BUCKETS = 1 << 16
+#: Lines of bands of no more lines all meet by their marks; those of larger ones by rare shingles. Lines meet in blocks of so many.
+WHOLE, BLOCK = 1 << 15, 1 << 11
 
 
 def _leads(texts: DataFrame) -> DataFrame:
@@ -163,44 +165,74 @@ def _leads(texts: DataFrame) -> DataFrame:
 
 
 def _ordered(lines: DataFrame, similarity: float) -> DataFrame:
-    """``id``, ``root``, ``n`` (the shingles ``s``), ``p`` and ``i`` of lines: of the shingles, the rarest first, those that a similar line of no more (``p``) or no fewer shingles (the first ``i`` of these) can't all lack."""
+    """``id`` and ``p`` of lines: of the shingles ``s``, the rarest first, those that a similar line can't all lack."""
     bucket = lambda x: F.pmod(x, F.lit(BUCKETS))
     often = lines.select(F.explode("s").alias("x")).groupBy(bucket(F.col("x")).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("often"))
     level = F.least(F.lit(127.0), F.log2(F.coalesce("often", F.lit(1))) * 6).cast("tinyint").alias("level")
     levels = lines.sparkSession.range(BUCKETS).join(often, "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", level))), lambda x: x["level"]).alias("levels"))
     key = lambda x: F.shiftleft(F.get("levels", bucket(x)).cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     n = F.size("s")
-    lacks = lambda share: (n - F.ceil(n * share - F.lit(1e-9)) + 1).cast("int")
-    keys = F.slice(F.sort_array(F.transform("s", key)), F.lit(1), lacks(similarity))
-    return lines.crossJoin(F.broadcast(levels)).select("id", "root", n.alias("n"), keys.alias("p"), lacks(2 * similarity / (1 + similarity)).alias("i"))
+    keys = F.slice(F.sort_array(F.transform("s", key)), F.lit(1), (n - F.ceil(n * similarity - F.lit(1e-9)) + 1).cast("int"))
+    return lines.crossJoin(F.broadcast(levels)).select("id", keys.alias("p"))
+
+
+def _marks(sets: DataFrame) -> DataFrame:
+    """``id``, ``n`` and ``m0`` to ``m7`` of sets of shingles (``id``, ``s``): their size, and for each of 512 buckets whether an odd number of them is in it.
+
+    Marks of two sets differ in no more buckets than the sets in shingles.
+    """
+    rows = sets.select("id", F.explode("s").alias("x"))
+    bit = F.expr("shiftleft(1L, x & 63)")
+    return rows.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), *(F.bit_xor(F.when(F.expr(f"(shiftrightunsigned(x, 6) & 7) = {k}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(8)))
+
+
+def _meet(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: lines of different ``root`` of the same ``key`` (of ``size`` lines) that can be similar by their sizes and marks.
+
+    A key's lines are dealt into blocks, and each two blocks meet in a place of their own. The join makes no row of lines that can't be similar.
+    """
+    own = rows.join(marks, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    held = ["key", "i", "j", "id", "root", "n", *(f"m{k}" for k in range(8))]
+    x = own.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    y = own.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block")))
+    x, y = (v.select(*(F.col(c).alias(c if c in ("key", "i", "j") else c + side) for c in held)) for v, side in ((x, "x"), (y, "y")))
+    both = F.col("nx") + F.col("ny")
+    differ = sum((F.bit_count(F.col(f"m{k}x").bitwiseXOR(F.col(f"m{k}y"))) for k in range(1, 8)), F.bit_count(F.col("m0x").bitwiseXOR(F.col("m0y"))))
+    # sizes first: they are the cheaper ones to compare
+    sizes = F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity - F.lit(1e-9)
+    near = differ <= both * ((1 - similarity) / (1 + similarity)) + F.lit(1e-9)
+    met = x.hint("merge").join(y, ["key", "i", "j"]).where((F.col("rootx") != F.col("rooty")) & sizes & ((F.col("i") < F.col("j")) | (F.col("idx") < F.col("idy"))) & near)
+    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
 
 
 def _crowded(bands: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``a``, ``b``: the similar lines of different components (``root``) in the large ``bands`` (``band``, ``id``, ``root``), all of them.
 
-    Two sets of shingles of this similarity share one of the rarest of each (a prefix filter, which loses no pair). Lines of
-    ``texts`` (``id``, ``line``) that share such a shingle meet; where more than a small band's lines have it, those that also
-    share a band. There is no limit to either.
+    Lines of a band meet one another by their marks, which lose no pair. In bands of more than ``WHOLE`` lines, those meet that
+    share one of the rarest shingles of each (a prefix filter, which loses no pair either). There is no limit to either.
+    Candidates are then compared by the sets of shingles of ``texts`` (``id``, ``line``).
     """
-    lines, _ = stored(bands.select("id", "root").distinct().join(texts, "id").select("id", "root", shingles(F.col("line"), F.hash).alias("s")), "line-sets")
-    ordered, _ = stored(_ordered(lines, similarity), "line-ordered")
-    rows = ordered.select("id", "root", "n", "i", F.posexplode("p").alias("at", "token")).select("token", "id", "root", "n", (F.col("at") < F.col("i")).alias("indexed"))
-    apart = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "often")
-    held, _ = stored(rows.join(apart, "token"), "line-rare")
-
-    def meet(rows: DataFrame, *keys: str) -> DataFrame:
-        x, y = (rows.select(*keys, "indexed", *(F.col(c).alias(c + v) for c in ("id", "root", "n"))) for v in "xy")
-        both = x.drop("indexed").join(y.where("indexed").drop("indexed"), list(keys)).where("rootx != rooty and (ny < nx or (ny = nx and idy < idx))")
-        return both.where(F.col("ny") >= F.col("nx") * similarity - F.lit(1e-9)).select(F.col("idy").alias("a"), F.col("idx").alias("b"))
-
-    many = held.where(F.col("often") > SMALL_BAND).join(bands.select("band", "id"), "id")
-    pairs, _ = stored(meet(held.where(F.col("often") <= SMALL_BAND), "token").union(meet(many, "token", "band")).distinct(), "line-pairs")
-    # of the rarest shingles of both, a similar pair shares more than one
-    a, b = (ordered.select(F.col("id").alias(v), F.col("n").alias("n" + v), F.col("p").alias("p" + v)) for v in "ab")
-    least = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - F.lit(1e-9))
-    shared = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + least
-    likely = pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("pa", "pb")) >= shared).select("a", "b")
-    return _similar(likely, lines.select("id", "s"), similarity)
+    sized, _ = stored(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "band"), "line-sized")
+    lines = bands.select("id").distinct().join(texts, "id")
+    sets = lambda of: of.select("id", shingles(F.col("line"), F.hash).alias("s"))
+    marks, _ = stored(_marks(sets(lines)), "line-marks")
+    wide = sized.where(F.col("size") > WHOLE)
+    pairs = _meet(sized.where(F.col("size") <= WHOLE).select(F.col("band").alias("key"), "id", "root", "size"), marks, similarity)
+    if not wide.isEmpty():
+        pairs = pairs.union(_meet(_rare(wide.select("band", "id", "root"), sets(texts), similarity), marks, similarity))
+    pairs, _ = stored(pairs.distinct(), "line-pairs")
+    found = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    return _similar(pairs, stored(sets(found), "line-sets")[0], similarity)
+
+
+def _rare(bands: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``key``, ``id``, ``root``, ``size``: the lines of ``bands`` (``band``, ``id``, ``root``) by band and each of their rarest shingles, where lines of different roots have it."""
+    lines, _ = stored(sets.join(bands.select("id").distinct(), "id"), "line-sets")
+    ordered = _ordered(lines, similarity)
+    rows = ordered.select("id", F.explode("p").alias("token")).join(bands, "id").select(F.xxhash64("band", "token").alias("key"), "id", "root").distinct()
+    rows, _ = stored(rows, "line-rare")
+    apart = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "size")
+    return rows.join(apart, "key")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sitelens.llm import op10_lines
 from sitelens.llm.common import settled, stored
 from sitelens.llm.components import connected_components
 from sitelens.llm.op01_vptree import Tree, nearest
@@ -408,6 +409,23 @@ def test_lines_of_large_bands_against_all_pairs(spark):
     assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("whole", [None, 32])
+def test_lines_of_large_bands_that_are_not_similar_make_no_rows(spark, monkeypatch, whole):
+    """Else the rows grow with the square of the band. Both ways (all lines of a band, those that share a rare shingle) find all pairs."""
+    made, write = {}, op10_lines.stored
+    monkeypatch.setattr(op10_lines, "stored", lambda df, name: (out := write(df, name), made.update({name: out[0].count()}))[0])
+    if whole:
+        monkeypatch.setattr(op10_lines, "WHOLE", whole)
+        monkeypatch.setattr(op10_lines, "BLOCK", whole)
+    rows = lines_of_six_words()
+    sets = [line_sets(x) for x in rows]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    texts = spark.createDataFrame(list(enumerate(rows)), "id long, line string")
+    bands = texts.select(F.explode(F.expr("array(1L, 2L)")).alias("band"), "id", F.col("id").alias("root"))
+    got = [tuple(sorted(r)) for r in _crowded(bands, texts, 0.8).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) <= made["line-pairs"] <= 3 * len(want)
+
+
 def test_large_bands_in_the_pipeline(spark):
     """All pairs leave 304 of these 800 lines; signatures miss some pairs, but not the limits of large bands, by which 388 stayed."""
     docs = spark.createDataFrame(list(enumerate(lines_of_six_words())), "doc_id long, text string")
