@@ -151,8 +151,8 @@ def _mixed(placed: DataFrame, key: str) -> DataFrame:
 LEADS = 3
 #: Shingles are counted in so many buckets, to tell rare ones from frequent ones.
 BUCKETS = 1 << 16
-#: Lines of bands of no more lines all meet by their marks; those of larger ones by rare shingles. Lines meet in blocks of so many.
-WHOLE, BLOCK = 1 << 15, 1 << 11
+#: Lines of bands of no more lines all meet by their marks; those of larger ones by rare shingles. Lines meet in blocks of so many, and first in hands of so many.
+WHOLE, BLOCK, HAND = 1 << 15, 1 << 11, 16
 
 
 def _leads(texts: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _marks(sets: DataFrame) -> DataFrame:
 def _meet(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """``a``, ``b``: lines of different ``root`` of the same ``key`` (of ``size`` lines) that can be similar by their sizes and marks.
 
-    A key's lines are dealt into blocks, and each two blocks meet in a place of their own. The join makes no row of lines that can't be similar.
+    A key's lines are dealt into blocks, and each two blocks meet in a place of their own. The join makes no row of lines that these tell apart.
     """
     own = rows.join(marks, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     held = ["key", "i", "j", "id", "root", "n", *(f"m{k}" for k in range(8))]
@@ -205,7 +205,18 @@ def _meet(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
 
 
-def _crowded(bands: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _sets(texts: DataFrame) -> DataFrame:
+    return texts.select("id", shingles(F.col("line"), F.hash).alias("s"))
+
+
+def _dealt(bands: DataFrame) -> DataFrame:
+    """``bands`` twice dealt at random into bands of ``HAND`` lines or so. What is similar there joins most of a family before all its lines meet."""
+    sized = bands.join(bands.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / HAND).alias("hands")), "band")
+    hand = lambda deal: F.xxhash64("band", deal, F.pmod(F.xxhash64("id", "band", deal), "hands"))
+    return sized.withColumn("deal", F.explode(F.expr("array(0, 1)"))).select(hand(F.col("deal")).alias("band"), "id", "root")
+
+
+def _crowded(bands: DataFrame, texts: DataFrame, similarity: float, marks: DataFrame | None = None) -> DataFrame:
     """``a``, ``b``: the similar lines of different components (``root``) in the large ``bands`` (``band``, ``id``, ``root``), all of them.
 
     Lines of a band meet one another by their marks, which lose no pair. In bands of more than ``WHOLE`` lines, those meet that
@@ -213,16 +224,15 @@ def _crowded(bands: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     Candidates are then compared by the sets of shingles of ``texts`` (``id``, ``line``).
     """
     sized, _ = stored(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "band"), "line-sized")
-    lines = bands.select("id").distinct().join(texts, "id")
-    sets = lambda of: of.select("id", shingles(F.col("line"), F.hash).alias("s"))
-    marks, _ = stored(_marks(sets(lines)), "line-marks")
+    if marks is None:
+        marks, _ = stored(_marks(_sets(bands.select("id").distinct().join(texts, "id"))), "line-marks")
     wide = sized.where(F.col("size") > WHOLE)
     pairs = _meet(sized.where(F.col("size") <= WHOLE).select(F.col("band").alias("key"), "id", "root", "size"), marks, similarity)
     if not wide.isEmpty():
-        pairs = pairs.union(_meet(_rare(wide.select("band", "id", "root"), sets(texts), similarity), marks, similarity))
+        pairs = pairs.union(_meet(_rare(wide.select("band", "id", "root"), _sets(texts), similarity), marks, similarity))
     pairs, _ = stored(pairs.distinct(), "line-pairs")
     found = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    return _similar(pairs, stored(sets(found), "line-sets")[0], similarity)
+    return _similar(pairs, stored(_sets(found), "line-sets")[0], similarity)
 
 
 def _rare(bands: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -265,11 +275,12 @@ def fuzzy_links(docs: DataFrame, shared: DataFrame, ids: DataFrame, similarity:
     links = links.union(settled(lambda: _verified(pairs.union(leads).distinct(), (texts, path), similarity), "line-links"))
 
     # large bands that still have lines of different components: every pair of these that is similar
-    def rest() -> DataFrame:
-        bands, _ = stored(_mixed(_rooted(left.where(F.col("size") > SMALL_BAND).select("band", "id"), links), "band"), "line-open")
-        return _crowded(bands, of_crowd, similarity)
-
-    return links.union(settled(rest, "line-links"))
+    large = left.where(F.col("size") > SMALL_BAND).select("band", "id")
+    apart = lambda: stored(_mixed(_rooted(large, links), "band"), "line-open")[0]
+    bands = apart()
+    marks, _ = stored(_marks(_sets(bands.select("id").distinct().join(of_crowd, "id"))), "line-marks")
+    links = links.union(settled(lambda: _crowded(_dealt(bands), of_crowd, similarity, marks), "line-links"))
+    return links.union(settled(lambda: _crowded(apart(), of_crowd, similarity, marks), "line-links"))
 
 
 def line_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
