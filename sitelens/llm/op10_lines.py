@@ -14,8 +14,8 @@ within ``BRIEF`` both.
 Lines that share a band are compared if they share four of ten signature values, as similar lines do (93% at that least J,
 99% at usual ones). First each line meets the commonest line of its bands, which joins the variants of one line, however
 many; after that only lines of different components meet. In bands of many lines, as of families on one template or around
-one passage, lines meet where they share a window that few of these lines have, and at the first line of their rarest other
-windows: so the pairs grow with the lines, not with their square, however many lines share a template.
+one passage, lines first meet at the first line of their rarest windows and in small hands; of those still apart, every similar
+pair is found (``_crowded``), by comparisons that grow with the square of the lines of a band that are still apart.
 """
 
 from __future__ import annotations
